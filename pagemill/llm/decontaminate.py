@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, WordHash, bitmap, grams, in_bitmap, map_rows, parts, pick, signed
+from .common import U64, WordHash, bitmap, grams, in_bitmap, map_rows, pick, signed
 
 #: A-Z to lower case, everything that isn't part of a word to a space.
 WORDS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 32 for b in range(256))
