@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, near_dedup, packing, secrets, shards
+from . import decontaminate, near_dedup, packing, secrets, shards, suffixes
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_secret_scan": secrets.op3_secret_scan,
         "op5_pack": packing.op5_pack,
         "op9_shard": shards.op9_shard,
+        "op10_suffix_dedup": suffixes.op10_suffix_dedup,
     }
 
 
