@@ -6,11 +6,15 @@ least ``k`` values are a uniform sample of the set. Documents of equal sets form
 1. Inverted lists hold the least ``lists`` values of every class. Linked sets (Jaccard >= 0.85) share at least ``share`` of
    these with a chance above 1 - 1e-8, so it is enough to list, of each class, the rarest ``lists - share + 1``
    of its values (any two sets sharing ``share`` meet in one), and a class too few of whose values occur elsewhere has no link.
-2. In each list every class is paired with the list's least class, not with all others. The pairs pass a length test and
-   the estimate from the union's bottom-k sketch, and the exact Jaccard of full sets decides.
-3. The links' components are contracted; lists that still hold several components get further rounds with other hubs,
-   and at last all pairs of classes in different components. So groups of thousands of near copies cost a few
-   pairs a member, and no link between components is missed.
+2. Of the listed classes, the full sets tell how many shingles no other listed class has. These bound the class's Jaccard
+   with any other, given the lengths, so a copy with too many edits of its own is out, however large its group.
+3. In each list every class is paired with a hub, the class with the least share of such own shingles, not with all others.
+   The pairs pass the bound and the estimate from the union's bottom-k sketch, and the exact Jaccard of full sets decides.
+4. The links' components are contracted. The classes of lists that still hold several components are joined once more, by
+   their full sets: two linked sets share one of their rarest shingles, as many as the lengths allow to differ (the prefix
+   filter), so lists are keyed by shingle and length band, and only pairs between a list's main component and the
+   others, or among the others, are formed. So groups of thousands of near copies cost a few pairs a member, and no link
+   between components is missed.
 
 Defined results: null and wordless texts have an empty set and no link. Under five words, the whole sequence is the one
 shingle. Rows with equal doc_id are one document if their sets are equal; otherwise both rows stay and are linked apart.
@@ -79,7 +83,37 @@ def full_sets(documents: DataFrame, wanted: DataFrame, words: int, bits: int = 2
     return map_rows(docs, make, "node long, class binary, set array<long>")
 
 
-def near_components(documents: DataFrame, threshold: int = 85, words: int = 5, k: int = 64, lists: int = 32, share: int = 15, rounds: int = 3) -> DataFrame:
+def prefix_pairs(nodes: DataFrame, sets: DataFrame, threshold: int, bound) -> DataFrame:
+    """Pairs (node, node2) of different c among nodes (node, n, core, c) that the prefix filter can't exclude."""
+    share = threshold / (100 + threshold)  # linked sets of n and n2 have at least this part of n + n2 in common
+    tokens = cut(nodes.join(sets.select("node", "set"), "node").select("node", F.explode("set").alias("g")), "tokens")
+    df = tokens.groupBy("g").agg(F.count("*").alias("df")).filter("df > 1")
+    rare = tokens.join(df, "g").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("rare"))
+    # shingles of one set come first in the order, so they count as the prefix's first
+    ordered = nodes.join(rare, "node").withColumn("own", F.col("n") - F.size("rare"))
+    band = lambda n: F.floor(F.log(n) * 33)
+
+    def prefix(least_sum):
+        take = (F.col("n") - F.ceil(share * least_sum - 1e-9) + 1 - F.col("own")).cast("int")
+        return F.explode(F.slice("rare", F.lit(1), F.greatest(take, F.lit(0))))
+
+    low = F.ceil(F.col("n") * threshold / 100 - 1e-9)
+    high = F.least(F.col("n"), F.floor(F.col("core") * (1 + 100 / threshold) - F.col("n")) + 1)
+    larger = ordered.filter(low <= high).withColumn("band", F.explode(F.sequence(band(low), band(high))))
+    larger = larger.withColumn("t", prefix(F.col("n") + F.greatest(low, F.ceil(F.exp(F.col("band") / 33) - 1e-6)))).select("node", "n", "core", "c", "band", F.col("t.g").alias("g"))
+    smaller = ordered.withColumn("t", prefix(2 * F.col("n"))).select("node", "n", "core", "c", band(F.col("n")).alias("band"), F.col("t.g").alias("g"))
+    seen = larger.select("g", "band", "c").union(smaller.select("g", "band", "c")).groupBy("g", "band", "c").count()
+    lists = seen.groupBy("g", "band").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count("*").alias("cs")).filter("cs > 1").drop("cs")
+    larger, smaller = cut(larger.join(lists, ["g", "band"]), "larger"), cut(smaller.join(lists.withColumnRenamed("main", "m2"), ["g", "band"]).select("g", "band", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("core").alias("core2"), F.col("c").alias("c2"), "m2"), "smaller")
+    first = (F.col("n2") < F.col("n")) | (F.col("n2") == F.col("n")) & (F.col("node2") < F.col("node"))
+    # of equal lengths, either may be the larger one of the pair; the order by node picks one, and both have the full prefix there
+    may = first & (F.col("c") != F.col("c2")) & bound(F.col("n"), F.col("core"), F.col("n2"), F.col("core2"))
+    others = larger.filter("c <> main").join(smaller, ["g", "band"]).filter(may)
+    mains = larger.filter("c = main").join(smaller.filter("c2 <> m2"), ["g", "band"]).filter(may)
+    return others.select("node", "node2").union(mains.select("node", "node2"))
+
+
+def near_components(documents: DataFrame, threshold: int = 85, words: int = 5, k: int = 64, lists: int = 32, share: int = 15) -> DataFrame:
     """doc_id, n_shingles, component_id, kept. Links: 100 * intersection >= threshold * union of the full sets."""
     sig = cut(sketches(documents, words, k), "sketches")
     # one node for each class of equal non-empty sets, named by its least doc_id
@@ -97,6 +131,17 @@ def near_components(documents: DataFrame, threshold: int = 85, words: int = 5, k
     # two nodes may have the same doc_id only where rows repeat it with other texts; the class tells their sets apart
     sets = cut(full_sets(documents, listed, words).join(nodes.select("class", "node", "sketch"), ["class", "node"]).groupBy("node").agg(F.first("set").alias("set"), F.first("sketch").alias("sketch")), "sets")
 
+    # shingles that no other listed class has: own; those of the class are counted exactly, by one aggregation
+    own = sets.select("node", F.explode("set").alias("g")).groupBy("g").agg(F.count("*").alias("df"), F.min("node").alias("node")).filter("df = 1").groupBy("node").agg(F.count("*").alias("own"))
+    core = F.col("n") - F.coalesce("own", F.lit(0))  # the most that it can share with another
+    cores = entries.join(own, "node", "left").withColumn("core", core).filter(100 * F.col("core") >= threshold * F.col("n"))
+    entries = cut(cores.select("value", "node", "n", "core"), "entries")
+
+    def bound(n, core, n2, core2):
+        """Whether the Jaccard of two sets of these sizes and cores may reach the threshold."""
+        most = F.least(core, core2)
+        return 100 * most >= threshold * (n + n2 - most)
+
     @F.pandas_udf("double")
     def estimate(a: pd.Series, b: pd.Series) -> pd.Series:
         """Jaccard from the bottom-k sketch of the union: the share of its values that both have."""
@@ -113,34 +158,25 @@ def near_components(documents: DataFrame, threshold: int = 85, words: int = 5, k
     slack = 6 * (threshold / 100 * (1 - threshold / 100) / k) ** 0.5  # six standard errors of the estimate
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.filter((100 * F.least("n", "n2") >= threshold * F.greatest("n", "n2"))).select(F.greatest("node", "node2").alias("u"), F.least("node", "node2").alias("v")).distinct()
+        pairs = pairs.select(F.greatest("node", "node2").alias("u"), F.least("node", "node2").alias("v")).distinct()
         a = sets.select(F.col("node").alias("u"), F.col("set").alias("s"), F.col("sketch").alias("k"))
         b = sets.select(F.col("node").alias("v"), F.col("set").alias("s2"), F.col("sketch").alias("k2"))
         likely = cut(pairs.join(a.select("u", "k"), "u").join(b.select("v", "k2"), "v").filter(estimate("k", "k2") >= threshold / 100 - slack).select("u", "v"), "likely")
         both = F.size(F.array_intersect("s", "s2"))
         return likely.join(a.select("u", "s"), "u").join(b.select("v", "s2"), "v").filter(100 * both >= threshold * (F.size("s") + F.size("s2") - both)).select("u", "v")
 
-    edges, comps = None, None
-    for r in range(rounds + 1):
-        now = entries
-        if comps is not None:
-            now = entries.join(comps, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-            open_lists = now.groupBy("value").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 <> c2").select("value")
-            now = cut(now.join(open_lists, "value"), "open")
-            if now.isEmpty():
-                break
-        else:
-            now = now.withColumn("c", F.col("node"))
-        if r < rounds:
-            order = F.struct(F.col("node")) if r == 0 else F.struct(F.xxhash64("node", F.lit(r)), F.col("node"))
-            hub = now.groupBy("value").agg(F.min_by(F.struct("node", "n", "c"), order).alias("hub"))
-            pairs = now.join(hub, "value").select("node", "n", "c", F.col("hub.node").alias("node2"), F.col("hub.n").alias("n2"), F.col("hub.c").alias("c2")).filter("c <> c2")
-        else:
-            other = now.select("value", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-            pairs = now.join(other, "value").filter("c < c2")
-        found = cut(verified(pairs), "links")
-        edges = found if edges is None else edges.union(found)
-        comps = components(edges) if comps is None else components(comps.select(F.col("node").alias("u"), F.col("component").alias("v")).union(found))
+    # hubs: the class of least own share in each list
+    order = F.struct(-F.col("core") / F.col("n"), F.col("node"))
+    hub = entries.groupBy("value").agg(F.min_by(F.struct("node", "n", "core"), order).alias("hub"))
+    pairs = entries.join(hub, "value").select("node", "n", "core", F.col("hub.node").alias("node2"), F.col("hub.n").alias("n2"), F.col("hub.core").alias("core2"))
+    comps = components(cut(verified(pairs.filter((F.col("node") != F.col("node2")) & bound(F.col("n"), F.col("core"), F.col("n2"), F.col("core2")))), "links"))
+
+    now = entries.join(comps, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    several = now.groupBy("value").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 <> c2").select("value")
+    left = cut(now.join(several, "value").select("node", "n", "core", "c").distinct(), "open")
+    if not left.isEmpty():
+        found = cut(verified(prefix_pairs(left, sets, threshold, bound)), "links")
+        comps = components(comps.select(F.col("node").alias("u"), F.col("component").alias("v")).union(found))
 
     named = nodes.select("class", "node").join(comps, "node", "left").select("class", F.coalesce("component", "node").alias("component_id"))
     # empty sets are in no class; they and null ids join nothing
