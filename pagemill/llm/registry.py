@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, near_dedup, packing, secrets, shards, suffixes
+from . import decontaminate, near_dedup, packing, secrets, shards, suffixes, topk
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_decontaminate": decontaminate.op1_decontaminate,
         "op2_near_dedup": near_dedup.op2_near_dedup,
         "op3_secret_scan": secrets.op3_secret_scan,
+        "op4_top_k": topk.op4_top_k,
         "op5_pack": packing.op5_pack,
         "op9_shard": shards.op9_shard,
         "op10_suffix_dedup": suffixes.op10_suffix_dedup,
@@ -17,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.ORACLE, "op2_near_dedup": near_dedup.ORACLE}
+    return {"op1_decontaminate": decontaminate.ORACLE, "op2_near_dedup": near_dedup.ORACLE, "op4_top_k": topk.ORACLE}
