@@ -108,15 +108,18 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def bitmap(df: DataFrame, column: str, bits: int) -> np.ndarray:
-    """Which of 2**bits slots the top bits of a 64-bit column reach. Its size is fixed by ``bits``, whatever the rows."""
-    slots = df.select(F.shiftrightunsigned(F.col(column), 64 - bits).alias("s")).distinct()
-    out = np.zeros(1 << bits, dtype=bool)
-    out[slots.toPandas()["s"].to_numpy(dtype=np.int64)] = True
+    """Which of 2**bits slots the top bits of a 64-bit column reach, as words of 64 slots. Its size is fixed by ``bits``,
+    whatever the rows, and the words are put together before they reach the driver."""
+    slot = F.shiftrightunsigned(F.col(column), 64 - bits)
+    words = df.select(F.shiftright(slot, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(`{column}`, {64 - bits}) & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    out = np.zeros(1 << (bits - 6), dtype=U64)
+    out[words["w"].to_numpy()] = words["b"].to_numpy(dtype=np.int64).view(U64)
     return out
 
 
-def in_bitmap(values: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    return bits[(values >> U64(64 - (len(bits).bit_length() - 1))).astype(np.int64)]
+def in_bitmap(values: np.ndarray, words: np.ndarray) -> np.ndarray:
+    slot = values >> U64(64 - (len(words).bit_length() + 5))
+    return (words[(slot >> U64(6)).astype(np.int64)] >> (slot & U64(63))) & U64(1) != 0
 
 
 def crc_id(column: Column | str) -> Column:

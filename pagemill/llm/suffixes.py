@@ -60,6 +60,15 @@ class Hashes:
                 p = powers(len(data) + 1, f)[0]
                 self.sums.append(np.concatenate([np.zeros(1, U64), np.cumsum(BYTE[f][data] * p[: len(data)], dtype=np.uint64)]))
 
+    def grams(self, k: int) -> np.ndarray:
+        """A hash of the k bytes from each position on, good in its upper bits."""
+        s = self.sums[0]
+        x = s[k:] - s[:-k]
+        x *= powers(len(s), 0)[1][: len(x)]
+        x ^= x >> U64(31)
+        x *= U64(0xBF58476D1CE4E5B9)
+        return x
+
     def of(self, start: np.ndarray, end: np.ndarray, family: int = 0) -> np.ndarray:
         s = self.sums[family]
         with np.errstate(over="ignore"):
@@ -70,8 +79,9 @@ def runs(h: Hashes, n: int, reach: int, length: int = LENGTH) -> tuple[np.ndarra
     """anchor, first start, last start of each run of n bytes' starts."""
     if n < length:
         return (np.empty(0, np.int64),) * 3
-    at = np.arange(n - GRAM + 1)
-    key = h.of(at, at + GRAM) & U64(0xFFFFFFFF00000000) | (U64(0xFFFFFFFF) - at.astype(U64))  # the rightmost of equals
+    key = h.grams(GRAM)
+    key &= U64(0xFFFFFFFF00000000)
+    key |= np.arange(0xFFFFFFFF, 0xFFFFFFFF - len(key), -1).view(U64)  # the rightmost of equals
     width = 1
     while width * 2 <= reach:
         key = np.minimum(key[:-width], key[width:])
