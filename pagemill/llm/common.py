@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 _MIX1, _MIX2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 
+SLICE = 1000
+
 _folders: dict[str, str] = {}
 
 
@@ -60,13 +62,13 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str) -> DataFrame:
-    """``mapInArrow``: ``make`` runs once a task and returns the function of a batch."""
+    """``mapInArrow``: ``make`` runs once a task and returns the function of a batch; it gets ``SLICE`` rows at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for b in batches:
-            if b.num_rows:
-                yield from f(b)
+            for at in range(0, b.num_rows, SLICE):
+                yield from f(b.slice(at, SLICE))
 
     return df.mapInArrow(run, schema)
 

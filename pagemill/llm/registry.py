@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, near_dedup, packing, secrets, shards, suffixes, topk
+from . import decontaminate, near_dedup, packing, secrets, shards, suffixes, tokencount, topk, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,8 @@ def queries() -> dict:
         "op3_secret_scan": secrets.op3_secret_scan,
         "op4_top_k": topk.op4_top_k,
         "op5_pack": packing.op5_pack,
+        "op6_toxicity": toxicity.op6_toxicity,
+        "op7_token_count": tokencount.op7_token_count,
         "op9_shard": shards.op9_shard,
         "op10_suffix_dedup": suffixes.op10_suffix_dedup,
     }
