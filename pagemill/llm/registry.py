@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, near_dedup, packing, secrets, shards, suffixes, tokencount, topk, toxicity
+from . import decontaminate, langid, near_dedup, packing, secrets, shards, suffixes, tokencount, topk, toxicity
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_pack": packing.op5_pack,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_token_count": tokencount.op7_token_count,
+        "op8_language": langid.op8_language,
         "op9_shard": shards.op9_shard,
         "op10_suffix_dedup": suffixes.op10_suffix_dedup,
     }
