@@ -72,7 +72,7 @@ def object_key(kb_id: Column, addition_id: Column, filename: Column) -> Column:
 
 def decoded(content: Column) -> Column:
     """UTF-8 text without one leading byte-order mark; null if it isn't UTF-8."""
-    return F.regexp_replace(F.try_validate_utf8(content.cast("string")), "^﻿", "")
+    return F.regexp_replace(F.try_validate_utf8(content.cast("string")), "^\ufeff", "")
 
 
 def query_suite(spark: SparkSession, path: str) -> DataFrame:
