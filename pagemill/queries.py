@@ -121,7 +121,7 @@ def nrm_code(spark: SparkSession, d: str) -> DataFrame:
 @query(r"""SELECT doc_id, trim(regexp_replace(replace(text, '-', ' '), '\s+', ' ', 'g')) AS text FROM documents WHERE trim(replace(text, '-', ' ')) <> ''""")
 def nrm_dehyphen(spark: SparkSession, d: str) -> DataFrame:
     """Words broken over lines come back whole."""
-    broken = F.regexp_replace(F.replace("text", F.lit("-"), F.lit(" ")), "([a-z]{5})([a-z]{5})", "$1-\n$2")
+    broken = F.regexp_replace(F.replace("text", F.lit("-"), F.lit(" ")), r"(?<!\p{L})([a-z]{5})([a-z]{5})(?!\p{L})", "$1-\n$2")
     null = lambda t: F.lit(None).cast(t)
     one = F.struct(F.lit("paragraph").alias("kind"), null("int").alias("level"), broken.alias("text"), null("string").alias("language"), null("int").alias("line_start"), null("int").alias("line_end"), F.lit(1).alias("page_number"), F.lit("body").alias("content_role"))
     docs = table(spark, d, "documents").select("doc_id", F.array(one).alias("nodes"), null("string").alias("error_code"))
