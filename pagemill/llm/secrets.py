@@ -127,9 +127,13 @@ def scan_secrets(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataF
 def report(found: DataFrame) -> DataFrame:
     base = ("assign", "access", "hex")
     line = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x.kind, x.start, x.end)), ",")
+
+    def of(kind: str):
+        return F.size(F.filter("spans", lambda x: x.kind == kind)).cast("long")
+
     return found.select(
         "doc_id",
-        *(F.size(F.filter("spans", lambda x, k=k: x.kind == k)).cast("long").alias(f"n_{k}") for k in base),
+        *(of(k).alias(f"n_{k}") for k in base),
         F.sha2(line(F.filter("spans", lambda x: x.kind.isin(*base))).cast("binary"), 256).alias("base_sha256"),
         line(F.col("spans")).alias("spans"),
     )

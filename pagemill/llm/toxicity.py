@@ -33,7 +33,7 @@ TRAIN_ROWS, MOST_TERMS, THRESHOLD = 20_000, 3000, 0.7
 LOOKALIKES = dict(zip("авсеніјкмопрѕтухԁɡӏ", "abcehijkmonpstyxdgl")) | dict(zip("αβεικνορτυχ", "abeiknoptyx"))
 #: Signs that stand for letters inside a word.
 SIGNS = dict(zip("013457@$!|", "oieastasii"))
-_inside = re.compile(r"(?<=[a-z])[013457@$!|]+(?=[a-z])|(?<![^ ])[013457@$](?=[a-z]{2})")
+_inside = re.compile(r"(?<=[a-z])[013457@$!|]+(?=[a-z])|(?<![^ ])[013457@$](?=[a-z])")
 
 
 class Folding(dict):
