@@ -20,9 +20,11 @@ Defined results: a null text has no bytes. Rows that repeat a document repeat it
 from __future__ import annotations
 
 import hashlib
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,6 +99,18 @@ UNIT = "row_key long, c1 long, c2 long, g1 long, g2 long, a long, p long, q long
 NAMES = [x.split()[0] for x in UNIT.split(", ")]
 
 
+def split(lists: pa.ListArray):
+    """The fields of each row's structs, as arrays; lists of many small objects would take twenty times the memory."""
+    fields = [x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten()]
+    ends = np.cumsum(lengths(lists))
+    for at, end in zip([0, *ends[:-1]], ends):
+        yield [x[at:end] for x in fields]
+
+
+def lengths(lists: pa.ListArray) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+
+
 def units(docs: DataFrame, level: int, reach: int, length: int, seen=None, only_core: bool = False) -> DataFrame:
     """The units of a round. docs: row_key, text and, after the first round, todo (a, p, q, mine of the units to split)."""
 
@@ -116,14 +130,14 @@ def units(docs: DataFrame, level: int, reach: int, length: int, seen=None, only_
                 tag = U64(0)
             else:
                 step = STEP if level == 1 else 1
-                cols = [[], [], [], []]
-                for t in todo:
-                    # blocks are counted back from the anchor, so that they agree between documents
-                    j = np.arange((t["a"] - t["q"]) // step, (t["a"] - t["p"]) // step + 1)
-                    hi = t["a"] - j * step
-                    for c, v in zip(cols, (np.full(len(j), t["a"]), np.maximum(hi - step + 1, t["p"]), np.minimum(hi, t["q"]), np.full(len(j), t["mine"]))):
-                        c.append(v)
-                a, p, q, mine = map(np.concatenate, cols)
+                a, p, q, mine = todo
+                # blocks are counted back from the anchor, so that they agree between documents
+                low = (a - q) // step
+                count = (a - p) // step - low + 1
+                at = np.repeat(np.arange(len(a)), count)
+                a, p, q, mine = a[at], p[at], q[at], mine[at]
+                hi = a - (np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count) + low[at]) * step
+                p, q = np.maximum(hi - step + 1, p), np.minimum(hi, q)
                 s = a - (a - q) // step * step
                 e = s - (step - 1) + length
                 if level == 1:
@@ -140,10 +154,10 @@ def units(docs: DataFrame, level: int, reach: int, length: int, seen=None, only_
             return [np.full(len(a), key), c1, c2, g1, g2, a, p, q, mine]
 
         def f(b: pa.RecordBatch):
-            todo = b["todo"].to_pylist() if level else [None] * b.num_rows
+            todo = split(b["todo"]) if level else repeat(None)
             out, size = [], 0
-            for x in zip(b["row_key"].to_pylist(), b["text"].to_pylist(), todo):
-                got = rows(*x)
+            for key, text, own in zip(b["row_key"].to_pylist(), b["text"], todo):
+                got = rows(key, text.as_py(), own)
                 if got is not None:
                     out.append(got)
                     size += len(got) if only_core else len(got[0])
@@ -203,19 +217,18 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, reach: int = 160,
     clean = _only(docs, merged, 22, inside=False).select("doc_id", "text", none.alias("spans"))
 
     def join_up():
-        kind = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
-
         def f(b: pa.RecordBatch):
-            out = []
-            for found in b["found"].to_pylist():
-                own: list[dict] = []
-                for x in found or ():
-                    if own and x["s"] <= own[-1]["e"]:
-                        own[-1]["e"] = max(own[-1]["e"], x["e"])
-                    else:
-                        own.append(dict(x))
-                out.append(own)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["text"], pa.array(out, kind)], ["doc_id", "text", "spans"])
+            n = lengths(b["found"])
+            row = np.repeat(np.arange(len(n)), n)
+            s, e = (x.to_numpy() + (row << 40) for x in b["found"].flatten().flatten())  # rows apart by more than any length
+            e = np.maximum.accumulate(e)
+            new = np.ones(len(s), dtype=bool)
+            new[1:] = s[1:] > e[:-1]
+            last = np.roll(new, -1)  # the first span is always new, so the last row is always a last one
+            own, base = row[new], row[new] << 40
+            ends = np.concatenate([[0], np.cumsum(np.bincount(own, minlength=len(n)))]).astype(np.int32)
+            merged = pa.StructArray.from_arrays([pa.array(s[new] - base), pa.array(e[last] - base)], ["s", "e"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["text"], pa.ListArray.from_arrays(pa.array(ends), merged)], ["doc_id", "text", "spans"])
 
         return f
 
