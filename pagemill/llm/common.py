@@ -84,7 +84,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHash(dict):
     """word bytes -> 64-bit hash, remembered up to a bound."""
 
-    BOUND = 1_000_000
+    BOUND = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.BOUND:
