@@ -179,7 +179,8 @@ def units(docs: DataFrame, level: int, reach: int, length: int, seen=None, only_
 
 def settle(rows: DataFrame, length: int, last: bool, name: str) -> tuple[DataFrame, DataFrame | None]:
     """Spans (row_key, s, e) of the units that are done, and those (row_key, a, p, q, mine) to split."""
-    again = rows.groupBy("c1", "c2").agg(F.count("*").alias("n"), F.max("mine").alias("any")).filter("n > 1 AND any").select("c1", "c2")
+    # written first: AQE splits a skewed join only if neither side was aggregated in the stage of the join
+    again = cut(rows.groupBy("c1", "c2").agg(F.count("*").alias("n"), F.max("mine").alias("any")).filter("n > 1 AND any").select("c1", "c2"), f"{name}-again")
     kept = cut(rows.join(again, ["c1", "c2"]), name)
     span = lambda df: df.select("row_key", F.col("p").alias("s"), (F.col("q") + length).alias("e"))
     if last:
@@ -187,7 +188,7 @@ def settle(rows: DataFrame, length: int, last: bool, name: str) -> tuple[DataFra
     hulls = cut(kept.groupBy("c1", "c2", "g1", "g2").agg(F.count("*").alias("n"), F.min(F.struct("row_key", "a", "p", "q", "mine")).alias("u")), f"{name}-hulls")
     twice = hulls.filter("n > 1").select("c1", "c2", "g1", "g2")
     done = span(kept.filter("mine").join(twice, ["c1", "c2", "g1", "g2"]))
-    open_cores = hulls.filter("n = 1 AND u.mine").select("c1", "c2").distinct()
+    open_cores = cut(hulls.filter("n = 1 AND u.mine").select("c1", "c2").distinct(), f"{name}-open")
     todo = hulls.join(open_cores, ["c1", "c2"]).select("u.row_key", "u.a", "u.p", "u.q", ((F.col("n") == 1) & F.col("u.mine")).alias("mine"))
     return done, todo
 
