@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.text import uuid5
 
 DISTANCES = ("cosine", "dot", "euclid", "manhattan")
+BLOCK = 10_000
 
 
 def embed(chunks: DataFrame, provider: Callable[[], Callable[[list[str]], list[list[float]]]], dimension: int, batch: int = 16) -> DataFrame:
@@ -92,6 +95,41 @@ def collection_problem(manifest: DataFrame, name: str, size: int, distance: str)
     return None if row is None else "size" if row["size"] != size else "distance" if row["distance"] != distance else None
 
 
+def ensure_collections(manifest: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Adds action to wanted (name, size, distance): create, keep, or refuse where the stored size or distance differs."""
+    have = manifest.select("name", F.col("size").alias("_s"), F.col("distance").alias("_d"))
+    same = (F.col("_s") == F.col("size")) & (F.col("_d") == F.col("distance"))
+    action = F.when(F.col("_s").isNull() & F.col("_d").isNull(), "create").when(F.coalesce(same, F.lit(False)), "keep").otherwise("refuse")
+    return wanted.join(have, "name", "left").withColumn("action", action).drop("_s", "_d")
+
+
+def with_vectors(chunks: DataFrame, answers: DataFrame) -> DataFrame:
+    """Chunks joined to answers (doc_key, chunk_index, vector). A document with a chunk or an answer too many gets an error_code."""
+    both = chunks.withColumn("_c", F.lit(1)).join(answers.select("doc_key", "chunk_index", "vector"), ["doc_key", "chunk_index"], "full")
+    whole = both.groupBy("doc_key").agg((F.count("_c") == F.count("vector")).alias("_n"), F.max((F.col("_c").isNull() | F.col("vector").isNull()).cast("int")).alias("_odd"))
+    error = F.when(~F.col("_n") | (F.col("_odd") == 1), "EMBEDDING_RESPONSE_INVALID")
+    return both.join(whole, "doc_key").filter("_c IS NOT NULL").withColumn("error_code", error).drop("_c", "_n", "_odd")
+
+
+def index(stored: DataFrame | None, points: DataFrame, dimension: int, collection: str) -> tuple[DataFrame, DataFrame]:
+    """The points after an upsert of the versions without faults, and their projections (collection, indexed_chunk_count)."""
+    checked = check_points(points, dimension)
+    bad = checked.filter("problem IS NOT NULL").select("document_version_id").distinct()
+    good = checked.join(bad, "document_version_id", "left_anti").drop("problem").withColumn("id", point_id(F.col("document_version_id"), F.col("chunk_index")))
+    done = good.groupBy("document_version_id").agg(F.lit(collection).alias("collection"), F.count("*").alias("indexed_chunk_count"))
+    return upsert(stored, good), done
+
+
+def scroll(points: DataFrame, version: str) -> DataFrame:
+    """The points of one version, without their vectors; its count() is exact."""
+    return points.filter(F.col("document_version_id") == version).drop("vector")
+
+
+def retrieve(points: DataFrame, ids: DataFrame) -> DataFrame:
+    """The points of the given ids; missing ones are left out."""
+    return points.join(ids.select("id").distinct(), "id", "left_semi")
+
+
 def score(distance: str, a: Column, b: Column) -> Column:
     """Similarity (cosine, dot) or distance, in double."""
     add = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
@@ -115,9 +153,14 @@ def search(points: DataFrame, queries: DataFrame, top_k: int = 5, distance: str
         raise ValueError("top_k must be positive")
     q = queries.withColumn("query_vector", F.col("query_vector").cast("array<double>"))
     p = points.select("id", F.col("vector").cast("array<double>").alias("vector"), *([on] if on else []))
-    pairs = p.join(q, on) if on else p.join(F.broadcast(q.limit(10_000)), F.lit(True)) if queries.count() <= 10_000 else None
-    if pairs is None:
-        raise ValueError("give at most 10000 queries at once, or a filter column")
+    if on:
+        pairs = p.join(q, on)
+    else:
+        # without a filter, queries meet the points in broadcast blocks of a checked size
+        n = q.count()
+        many = math.ceil(n / (0.9 * BLOCK)) if n > BLOCK else 1
+        blocks = [q.filter(F.pmod(F.xxhash64("query_id"), F.lit(many)) == i) for i in range(many)]
+        pairs = reduce(DataFrame.unionByName, (p.join(F.broadcast(b), F.lit(True)) for b in blocks))
     s = score(distance, F.col("query_vector"), F.col("vector"))
     s = F.round(s, digits) if digits is not None else s
     up = F.desc("score") if distance in ("cosine", "dot") else F.asc("score")

@@ -58,6 +58,14 @@ def val_upload_route(spark: SparkSession, d: str) -> DataFrame:
     return uploads.validate(_uploads(spark, d)).select("upload_id", "name", "route", "reject_code", "http_status")
 
 
+@query("""SELECT doc_id, CASE WHEN coalesce(octet_length(encode(text)), 0) = 0 THEN 'EMPTY' WHEN doc_id % 3 = 0 THEN 'KB_NOT_FOUND' WHEN doc_id % 3 = 1 THEN 'KB_NOT_ACTIVE' END AS reject_code FROM documents""")
+def val_kb_accepts(spark: SparkSession, d: str) -> DataFrame:
+    """Uploads to missing, archived and active knowledge bases."""
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("kb"), F.col("doc_id") % 3).alias("kb_id"), F.lit("a.txt").alias("filename"), F.lit("text/plain").alias("media_type"), F.col("text").cast("binary").alias("content"))
+    bases = spark.createDataFrame([("kb1", "ARCHIVED"), ("kb2", "ACTIVE")], "kb_id string, kb_status string")
+    return uploads.validate(docs, bases).select("doc_id", "reject_code")
+
+
 @query("SELECT 'knowledge-bases/kb/additions/' || doc_id || '/source.txt' AS object_key, doc_id FROM documents WHERE doc_id % 2 = 1")
 def snk_put_objects(spark: SparkSession, d: str) -> DataFrame:
     key = uploads.object_key(F.lit("kb"), F.col("doc_id").cast("string"), F.lit("Dir.x/File.TXT"))
@@ -326,6 +334,63 @@ def emb_batches(spark: SparkSession, d: str) -> DataFrame:
     return done.select("vec_id", (F.col("error_code").isNull() & (F.col("vector")[0].cast("long") == F.col("vec_id"))).alias("embedded"))
 
 
+@query("SELECT doc_id AS doc_key, CASE WHEN doc_id % 7 = 0 OR doc_id % 7 = 1 THEN 'EMBEDDING_RESPONSE_INVALID' END AS error_code, count(*) AS n_chunks FROM (SELECT doc_id, unnest(range(2 + doc_id % 3)) FROM documents) GROUP BY ALL")
+def emb_zip(spark: SparkSession, d: str) -> DataFrame:
+    """Some documents lack the answer for their first chunk, others have one too many."""
+    key, m = F.col("doc_id").alias("doc_key"), F.col("doc_id") % 7
+    docs = table(spark, d, "documents").select("doc_id").distinct()
+    chunks = docs.select(key, F.explode(F.sequence(F.lit(0), (F.col("doc_id") % 3 + 1).cast("int"))).alias("chunk_index"))
+    answers = docs.select(key, F.explode(F.sequence(F.when(m == 0, 1).otherwise(0), (F.col("doc_id") % 3 + F.when(m == 1, 2).otherwise(1)).cast("int"))).alias("chunk_index"), F.array(F.lit(1.0)).alias("vector"))
+    return vectors.with_vectors(chunks, answers).groupBy("doc_key", "error_code").agg(F.count("*").alias("n_chunks"))
+
+
+def _points(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors as points of one version a label; those of label 1 have a blank text among them."""
+    e = table(spark, d, "embeddings")
+    return e.select(F.concat(F.lit("00000000-0000-4000-8000-"), F.lpad(F.col("label").cast("string"), 12, "0")).alias("document_version_id"), F.col("vec_id").alias("chunk_index"), F.when(F.col("label") == 1, "").otherwise(F.concat(F.lit("t"), F.col("vec_id"))).alias("text"), F.when(F.col("vec_id") % 2 == 0, 1).alias("page_start"), F.when(F.col("vec_id") % 2 == 0, 2).alias("page_end"), F.col("embedding").alias("vector"), F.lit(1).alias("seq"))
+
+
+_VERSION = "'00000000-0000-4000-8000-' || lpad(CAST(label AS VARCHAR), 12, '0')"
+
+
+@query(f"SELECT {_VERSION} AS document_version_id, 'chunks' AS collection, count(*) AS indexed_chunk_count FROM embeddings WHERE label <> 1 GROUP BY ALL")
+def vec_index(spark: SparkSession, d: str) -> DataFrame:
+    """Versions with a faulty point are refused whole; the others report their counts."""
+    return vectors.index(None, _points(spark, d), 64, "chunks")[1]
+
+
+@query(f"SELECT vec_id AS chunk_index, 't' || vec_id AS text FROM embeddings WHERE label = 2 UNION ALL SELECT -vec_id - 1, 't' || vec_id FROM embeddings WHERE label <> 1 AND vec_id % 11 = 0")
+def vec_scroll_retrieve(spark: SparkSession, d: str) -> DataFrame:
+    """One version's points, and those of chosen ids with negated numbers."""
+    stored = vectors.index(None, _points(spark, d), 64, "chunks")[0]
+    ids = _points(spark, d).filter("chunk_index % 11 = 0").select(vectors.point_id(F.col("document_version_id"), F.col("chunk_index")).alias("id"))
+    one = vectors.scroll(stored, f"00000000-0000-4000-8000-{2:012d}")
+    return one.select("chunk_index", "text").union(vectors.retrieve(stored, ids).select(-F.col("chunk_index") - 1, "text"))
+
+
+@query(f"""SELECT vec_id, '{{"document_version_id":"' || {_VERSION} || '","chunk_index":' || vec_id || ',"text":"' || CASE WHEN label = 1 THEN '' ELSE 't' || vec_id END || '"' || CASE WHEN vec_id % 2 = 0 THEN ',"page_start":1,"page_end":2' ELSE '' END || '}}' AS payload FROM embeddings""")
+def snk_payload(spark: SparkSession, d: str) -> DataFrame:
+    p = _points(spark, d).withColumn("id", F.col("chunk_index"))
+    return vectors.payload(p).select(F.col("id").alias("vec_id"), "payload")
+
+
+@query("SELECT * FROM (VALUES ('a', 64, 'cosine', 'keep'), ('b', 64, 'cosine', 'refuse'), ('c', 64, 'cosine', 'refuse'), ('d', 64, 'cosine', 'create')) t(name, size, distance, action)")
+def snk_collections(spark: SparkSession, d: str) -> DataFrame:
+    have = spark.createDataFrame([("a", 64, "cosine"), ("b", 32, "cosine"), ("c", 64, "dot")], "name string, size int, distance string")
+    want = spark.createDataFrame([(n, 64, "cosine") for n in "abcd"], "name string, size int, distance string")
+    return vectors.ensure_collections(have, want)
+
+
+@query(ORACLE["vec_topk_cosine"].replace("SELECT query_id, rank, id, score", "SELECT 's' AS suite_id, CAST(query_id AS VARCHAR) AS query_id, rank, id"))
+def vec_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    """A suite's evaluation document, read back from its JSON."""
+    found = QUERIES["vec_topk_cosine"](spark, d).withColumn("query_id", F.col("query_id").cast("string"))
+    suite = table(spark, d, "embeddings").filter("vec_id % 50 = 0").select(F.lit("s").alias("suite_id"), F.col("vec_id").cast("string").alias("query_id"), F.lit("t").alias("text"), F.lit("p").alias("purpose"))
+    read = F.from_json("document", "suite_id string, queries array<struct<query_id: string, results: array<struct<rank: int, id: bigint>>>>")
+    rows = vectors.evaluation(suite, found).select("suite_id", F.explode(read["queries"]).alias("q")).select("suite_id", "q.query_id", F.explode("q.results").alias("r"))
+    return rows.select("suite_id", "query_id", "r.rank", "r.id")
+
+
 # --- lifecycle -----------------------------------------------------------------------------------------------------
 
 
@@ -346,6 +411,17 @@ def lif_latest(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.latest(_log(spark, d)).select("entity_id", "status")
 
 
+@query("""SELECT 'version' AS entity, doc_id AS entity_id, CAST(u.i AS INTEGER) AS seq, u.s AS status, u.ok AS allowed FROM documents, (VALUES (0, 0, 'PROCESSING', true), (0, 1, 'SEARCHABLE', true), (1, 0, 'PROCESSING', true), (1, 1, 'FAILED', true), (1, 2, 'SEARCHABLE', false)) u(m, i, s, ok) WHERE u.m = doc_id % 2
+UNION ALL SELECT 'knowledge_base', doc_id, CAST(u.i AS INTEGER), u.s, u.ok FROM documents, (VALUES (0, 'ACTIVE', true), (1, 'ARCHIVED', true), (2, 'ARCHIVED', false)) u(i, s, ok)""")
+def lif_version_transitions(spark: SparkSession, d: str) -> DataFrame:
+    """Versions and knowledge bases, with moves out of final states."""
+    states = lambda *names: F.array(*map(F.lit, names))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("entity_id"))
+    v = docs.select(F.lit("version").alias("entity"), "entity_id", F.posexplode(F.when(F.col("entity_id") % 2 == 0, states("PROCESSING", "SEARCHABLE")).otherwise(states("PROCESSING", "FAILED", "SEARCHABLE"))).alias("seq", "status"))
+    k = docs.select(F.lit("knowledge_base").alias("entity"), "entity_id", F.posexplode(states("ACTIVE", "ARCHIVED", "ARCHIVED")).alias("seq", "status"))
+    return lifecycle.transitions(v.union(k)).drop("previous")
+
+
 def _tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     m, i = F.col("doc_id") % 5, F.col("doc_id")
     docs = table(spark, d, "documents")
@@ -422,18 +498,33 @@ def pdf_body_size(spark: SparkSession, d: str) -> DataFrame:
     return layout.body_size(layout.line_features(layout.group_lines(_words(spark, d)))).select(F.col("doc_key").alias("doc_id"), "body")
 
 
-@query(rf"""WITH {_LINES} {_BODY},
-k AS (SELECT l.*, body, row_number() OVER (PARTITION BY l.doc_id, page_number ORDER BY line_idx) AS a, row_number() OVER (PARTITION BY l.doc_id, page_number ORDER BY line_idx DESC) AS z, lower(trim(regexp_replace(regexp_replace(text, '[0-9]+', '#', 'g'), '\s+', ' ', 'g'))) AS key FROM l JOIN b USING (doc_id)),
+_MARKS = rf"""k AS (SELECT l.*, body, row_number() OVER (PARTITION BY l.doc_id, page_number ORDER BY line_idx) AS a, row_number() OVER (PARTITION BY l.doc_id, page_number ORDER BY line_idx DESC) AS z, lower(trim(regexp_replace(regexp_replace(text, '[0-9]+', '#', 'g'), '\s+', ' ', 'g'))) AS key FROM l JOIN b USING (doc_id)),
 c AS (SELECT * FROM k WHERE a <= 2 OR z <= 2),
-r AS (SELECT doc_id, key FROM c WHERE max_size <= body * 1.08 AND key <> '' GROUP BY doc_id, key HAVING count(DISTINCT page_number) >= 2)
-SELECT c.doc_id, CAST(c.page_number AS INTEGER) AS page_number, CAST(c.line_idx AS INTEGER) AS line_idx, c.text FROM c LEFT JOIN r ON c.doc_id = r.doc_id AND c.key = r.key
-WHERE r.key IS NOT NULL OR regexp_full_match(text, '[0-9]+') AND TRY_CAST(text AS HUGEINT) = page_number OR regexp_full_match(text, '[0-9]+\s*\|\s*\S.*|\S.*\|\s*[0-9]+') OR a = 1 AND length(text) <= 4 AND regexp_full_match(text, '[^\p{{L}}\p{{N}}]+')""")
+r AS (SELECT doc_id, key FROM c WHERE max_size <= body * 1.08 AND key <> '' GROUP BY doc_id, key HAVING count(DISTINCT page_number) >= 2),
+f AS (SELECT c.doc_id, CAST(c.page_number AS INTEGER) AS page_number, CAST(c.line_idx AS INTEGER) AS line_idx, c.text FROM c LEFT JOIN r ON c.doc_id = r.doc_id AND c.key = r.key
+WHERE r.key IS NOT NULL OR regexp_full_match(text, '[0-9]+') AND TRY_CAST(text AS HUGEINT) = page_number OR regexp_full_match(text, '[0-9]+\s*\|\s*\S.*|\S.*\|\s*[0-9]+') OR a = 1 AND length(text) <= 4 AND regexp_full_match(text, '[^\p{{L}}\p{{N}}]+'))"""
+
+
+@query(f"WITH {_LINES} {_BODY}, {_MARKS} SELECT doc_id, page_number, line_idx, text FROM f")
 def pdf_furniture(spark: SparkSession, d: str) -> DataFrame:
     lines = layout.line_features(layout.group_lines(_words(spark, d)))
     marked = layout.furniture(lines.join(layout.body_size(lines), "doc_key"))
     return marked.filter("furniture").select(F.col("doc_key").alias("doc_id"), "page_number", "line_idx", "text")
 
 
+@query(rf"""WITH {_LINES} {_BODY}, {_MARKS},
+v AS (SELECT l.*, f.doc_id IS NULL AS content, line_idx * 24.0 + CASE WHEN line_idx >= 23 THEN 20 ELSE 0 END AS top FROM l LEFT JOIN f USING (doc_id, page_number, line_idx)),
+g2 AS (SELECT doc_id, max_size, sum(length(text)) AS n, min(page_number * 1000 + line_idx) AS f FROM v WHERE content GROUP BY doc_id, max_size),
+b2 AS (SELECT doc_id, first(max_size ORDER BY n DESC, f) AS body FROM g2 GROUP BY doc_id),
+t AS (SELECT v.*, body, regexp_full_match(trim(text), '[0-9]+') AS num, max_size <= body * 0.85 AS small,
+  content AND max(CAST(content AND max_size > body * 0.85 AS INTEGER)) OVER (PARTITION BY doc_id, page_number ORDER BY line_idx DESC ROWS UNBOUNDED PRECEDING) = 0 AS tail,
+  last_value(CASE WHEN content THEN top + max_size END IGNORE NULLS) OVER (PARTITION BY doc_id, page_number ORDER BY line_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above FROM v JOIN b2 USING (doc_id)),
+x AS (SELECT doc_id, page_number, bool_or(NOT num) AS prose, arg_min(coalesce(top - above > body, true), line_idx) AS apart FROM t WHERE tail GROUP BY doc_id, page_number)
+SELECT doc_id, CAST(page_number AS INTEGER) AS page_number, CAST(line_idx AS INTEGER) AS line_idx, text FROM t LEFT JOIN x USING (doc_id, page_number) WHERE content AND small AND num OR tail AND prose AND apart""")
+def pdf_footnotes(spark: SparkSession, d: str) -> DataFrame:
+    return layout.analysed_lines(_words(spark, d)).filter("footnote").select(F.col("doc_key").alias("doc_id"), "page_number", "line_idx", "text")
+
+
 @query()
 def pdf_headings(spark: SparkSession, d: str) -> DataFrame:
     return layout.analysed_lines(_words(spark, d)).filter("heading OR footnote").select(F.col("doc_key").alias("doc_id"), "page_number", "line_idx", "heading", "footnote", "level")

@@ -141,3 +141,21 @@ def test_stream(spark, tmp_path):
 def test_files(spark, tmp_path):
     (tmp_path / "b.md").write_text("# x")
     assert [(r.filename, r.media_type) for r in uploads.read_files(spark, str(tmp_path), "kb").collect()] == [("b.md", "text/markdown")]
+
+
+def test_search_in_blocks(spark, monkeypatch):
+    points = spark.range(40).select("id", F.array(F.col("id").cast("double"), F.lit(1.0)).alias("vector"))
+    queries = points.select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    whole = sorted(vectors.search(points, queries, 3, "euclid").collect())
+    monkeypatch.setattr(vectors, "BLOCK", 15)
+    assert len(whole) == 120 and sorted(vectors.search(points, queries, 3, "euclid").collect()) == whole
+
+
+def test_index_refuses_faulty_versions(spark):
+    rows = [("v1", 0, "a", [1.0]), ("v1", 1, "b", [2.0]), ("v2", 0, "a", [1.0]), ("v2", 1, " ", [1.0])]
+    points = spark.createDataFrame([(*r, None, None, 1) for r in rows], "document_version_id string, chunk_index int, text string, vector array<double>, page_start int, page_end int, seq int")
+    points = points.withColumn("document_version_id", F.when(F.col("document_version_id") == "v1", "00000000-0000-4000-8000-000000000001").otherwise("00000000-0000-4000-8000-000000000002"))
+    stored, done = vectors.index(None, points, 1, "c")
+    assert [r.indexed_chunk_count for r in done.collect()] == [2]
+    again, _ = vectors.index(stored, points, 1, "c")
+    assert again.count() == 2
