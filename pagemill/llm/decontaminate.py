@@ -48,7 +48,8 @@ def context(ws: list[bytes], at: int, k: int, reach: int) -> str:
 
 def matched(a: str, b: str) -> tuple[int, int]:
     """How many words agree before and from the k-gram on."""
-    (al, ar), (bl, br) = (tuple(s.split() for s in x.split("\n")) for x in (a, b))
+    # context() joins by single spaces; str.split() would also cut at U+00A0, U+3000 and others that words have
+    (al, ar), (bl, br) = (tuple(s.split(" ") if s else [] for s in x.split("\n")) for x in (a, b))
     left = right = 0
     for x, y in zip(reversed(al), reversed(bl)):
         if x != y:

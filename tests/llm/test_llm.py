@@ -66,6 +66,30 @@ def test_decontaminate_odd(spark):
     assert decontaminate.decontaminate(frame(spark, []), bench).count() == 0
 
 
+def test_decontaminate_wide_spaces(spark):
+    """U+00A0, U+3000, U+0085 and U+2009 belong to words: inside them, around them and as whole words."""
+    w = [f"w{i}" for i in range(30)]
+    item = w[:4] + ["\u00a0", "\u3000", "a\u00a0b", "\u0085", "x\u2009", "y\u3000"]
+    items = [(1, " ".join(item)), (2, " ".join(w[10:17] + ["«\u00a0mot\u00a0»"] + ["tail"])), (3, " ".join(w[20:29] + ["mot"]))]
+    texts = [
+        " ".join(["before", *item, "after"]),  # the whole window, some of whose words are white space only
+        " ".join(["other"] + w[10:17] + ["«\u00a0mot\u00a0»", "else", "more"]),  # 8 of an item of 9 words
+        " ".join(w[20:29] + ["mot\u00a0"]),  # the last of 10 words differs
+        " ".join(w[20:29] + ["mot"]),
+        " ".join(item).replace("\u3000", "\u00a0"),
+        " ".join(["p"] + w[10:17] + ["«\u00a0mot\u00a0»", "tail", "q"]),
+    ]
+    items += [(4, " ".join(["k1", "k2", "k3", "k4", "k5", "k6", "k7", "«\u00a0mot\u00a0»", "end1", "end2", "end3"]))]
+    texts += [" ".join(["k1", "k2", "k3", "k4", "k5", "k6", "k7", "«\u00a0mot\u00a0»", "no", "none"])]  # 8 shared words aren't 10
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.report(decontaminate.decontaminate(frame(spark, texts), bench)).collect()}
+    assert [got[i].contaminated for i in range(len(texts))] == [True, False, False, True, False, True, False]
+    for i, t in enumerate(texts):
+        n, hit, k, ids = brute_hits(t, items)
+        r = got[i]
+        assert (r.n_words, r.n_hit, r.n_items, r.items_sha256) == (n, hit, k, hashlib.sha256(ids.encode()).hexdigest()), (t, r)
+
+
 def brute_components(texts):
     def shingles(t):
         ws = (t or "").encode().lower().split()
