@@ -21,7 +21,8 @@ def normalized(docs: DataFrame) -> DataFrame:
         out = [([], e) if e else normalize_nodes([n if isinstance(n, dict) else n.asDict() for n in (ns if ns is not None else [])]) for ns, e in zip(nodes, errors)]
         return pd.DataFrame({"nodes": [o[0] for o in out], "error_code": [o[1] for o in out]})
 
-    f = F.pandas_udf(run, f"struct<nodes: {NODES}, error_code: string>")
+    # else the filter on error_code is pushed below, and all documents are parsed and normalized twice
+    f = F.pandas_udf(run, f"struct<nodes: {NODES}, error_code: string>").asNondeterministic()
     return docs.withColumn("_n", f("nodes", "error_code")).withColumn("nodes", F.col("_n.nodes")).withColumn("error_code", F.col("_n.error_code")).drop("_n")
 
 

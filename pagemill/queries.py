@@ -262,6 +262,14 @@ def chk_split_invariants(spark: SparkSession, d: str) -> DataFrame:
     return both.agg(F.coalesce(F.sum("over"), F.lit(0)).cast("int").alias("over_soft"), F.sum(F.when(F.col("last") + 1 != F.col("n"), 1).otherwise(0)).cast("int").alias("index_gaps"), F.sum(F.abs(F.col("source_words") - F.coalesce("words", F.lit(0)))).cast("int").alias("lost_words"))
 
 
+@query()
+def ingest_documents(spark: SparkSession, d: str) -> DataFrame:
+    """All documents all the way, with all their chunks: validated, parsed with their line feeds, normalized, sectioned, split, numbered."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("upload_id"), F.lit("kb").alias("kb_id"), F.lit("a.txt").alias("filename"), F.lit("text/plain").alias("media_type"), F.col("text").cast("binary").alias("content"))
+    chunked = ingest.chunks(ingest.parsed(uploads.validate(docs)))
+    return chunked.select(F.col("doc_key").cast("long").alias("doc_id"), "chunk_index", "text", "content_type", "content_role", "source_line_start", "source_line_end")
+
+
 @query(r"""
 WITH d AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM documents WHERE text IS NOT NULL),
 c AS (SELECT * FROM d WHERE text <> '' AND len(regexp_extract_all(text, '[^\s]+')) <= 800),
@@ -269,7 +277,7 @@ h AS (SELECT doc_id, text, sha1(from_hex('30000000000000000000000000000003') ||
 SELECT doc_id, CAST(0 AS INTEGER) AS chunk_index, text FROM h
 """)
 def ingest_short_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Uploads that fit in one chunk, all the way: validated, parsed, normalized, sectioned, chunked."""
+    """Only the part of the plan that SQL can check: documents of one chunk, their line feeds made spaces. ingest_documents is the whole."""
     docs = table(spark, d, "documents").filter("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("upload_id"), F.lit("kb").alias("kb_id"), F.lit("a.txt").alias("filename"), F.lit("text/plain").alias("media_type"), F.replace("text", F.lit("\n"), F.lit(" ")).cast("binary").alias("content"))
     chunked = ingest.chunks(ingest.parsed(uploads.validate(docs)))
     one = F.count("*").over(Window.partitionBy("doc_key")) == 1

@@ -26,22 +26,28 @@ def text_paragraphs(docs: DataFrame, key: str = "doc_key") -> DataFrame:
     return blocks.withColumn("node_idx", F.row_number().over(Window.partitionBy(key).orderBy("island")) - 1).select(key, "node_idx", "text", "line_start", "line_end")
 
 
+def plain_nodes(text: str | None) -> list[dict] | None:
+    """Paragraphs of a plain text, one pass over its lines."""
+    if text is None:
+        return None
+    out: list[dict] = []
+    held: list[str] = []
+    for n, row in enumerate([*text.splitlines(), ""], 1):
+        if row.strip():
+            held.append(row)
+        elif held:
+            out.append(node("paragraph", "\n".join(held), line_start=n - len(held), line_end=n - 1))
+            held = []
+    return out
+
+
 def paragraph_nodes(text: Column) -> Column:
-    """The same as an array of nodes, without a shuffle: the lines fold into blocks inside the row."""
-    start = F.struct(F.array().cast("array<struct<text: string, a: int, b: int>>").alias("done"), F.lit(False).alias("open"), F.lit(0).alias("n"))
+    """The same as an array of nodes, without a shuffle. A fold in the row would copy all blocks at each line."""
 
-    def step(s, line):
-        n, last = s.n + 1, F.element_at(s.done, -1)
-        one = F.array(F.struct(line.alias("text"), n.alias("a"), n.alias("b")))
-        more = F.array(F.struct(F.concat(last.text, F.lit("\n"), line).alias("text"), last.a.alias("a"), n.alias("b")))
-        blank = F.regexp_replace(line, SPACE + "+", "") == ""
-        done = F.when(blank, s.done).when(s.open, F.concat(F.slice(s.done, F.lit(1), F.size(s.done) - 1), more)).otherwise(F.concat(s.done, one))
-        return F.struct(done.alias("done"), (~blank).alias("open"), n.alias("n"))
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(plain_nodes)
 
-    blocks = F.aggregate(lines(text), start, step, lambda s: s.done)
-    null = lambda t: F.lit(None).cast(t)
-    as_node = lambda x: F.struct(F.lit("paragraph").alias("kind"), null("int").alias("level"), x.text.alias("text"), null("string").alias("language"), x.a.alias("line_start"), x.b.alias("line_end"), null("int").alias("page_number"), F.lit("body").alias("content_role"))
-    return F.transform(blocks, as_node)
+    return F.pandas_udf(run, NODES)(text)
 
 
 _atx = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?)|[ \t]*)")
@@ -116,7 +122,8 @@ def parse(docs: DataFrame, extra: dict[str, Callable[[Column], Column]] | None =
             raise ValueError(f"not a media type: {r!r}")
     nodes = F.lit(None).cast(NODES)
     for r, f in routes.items():
-        nodes = F.when(F.col("route") == r, f(F.col("text"))).otherwise(nodes)
+        here = F.col("route") == r
+        nodes = F.when(here, f(F.when(here, F.col("text")))).otherwise(nodes)  # Python parsers run on every row, so others' texts are null there
     error = F.when(~F.col("route").isin(*routes), "UNSUPPORTED_MEDIA_TYPE").when(F.col("text").isNull(), "PARSING_FAILED")
     return docs.withColumn("nodes", nodes).withColumn("error_code", error)
 
