@@ -4,7 +4,7 @@ A document's set is its distinct shingles of five words, each hashed to 64 bits;
 least ``k`` values are a uniform sample of the set. Documents of equal sets form a class at once. Between classes:
 
 1. Inverted lists hold the least ``lists`` values of every class. Linked sets (Jaccard >= 0.85) share at least ``share`` of
-   these with a chance above 1 - 1e-8, so it is enough to list, of each class, the rarest ``lists - share + 1``
+   these but for a chance of up to 8.2e-8 (one set within the other, binomial; the estimate of 3 misses 1.5e-7 more), so it is enough to list, of each class, the rarest ``lists - share + 1``
    of its values (any two sets sharing ``share`` meet in one), and a class too few of whose values occur elsewhere has no link.
 2. Of the listed classes, the full sets tell how many shingles no other listed class has. These bound the class's Jaccard
    with any other, given the lengths, so a copy with too many edits of its own is out, however large its group.
@@ -13,8 +13,8 @@ least ``k`` values are a uniform sample of the set. Documents of equal sets form
 4. The links' components are contracted. The classes of lists that still hold several components are joined once more, by
    their full sets: two linked sets share one of their rarest shingles, as many as the lengths allow to differ (the prefix
    filter), so lists are keyed by shingle and length band, and only pairs between a list's main component and the
-   others, or among the others, are formed. So groups of thousands of near copies cost a few pairs a member, and no link
-   between components is missed.
+   others, or among the others, are formed. So groups of thousands of near copies cost a few pairs a member, and of links
+   between these components none is missed but by the estimate; classes that met in no list aren't joined here.
 
 Defined results: null and wordless texts have an empty set and no link. Under five words, the whole sequence is the one
 shingle. Rows with equal doc_id are one document if their sets are equal; otherwise both rows stay and are linked apart.
