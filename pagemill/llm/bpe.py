@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import cached_property
 
 import numpy as np
 import public_tokenizers
@@ -23,15 +24,19 @@ class Bpe:
     """``path``: a byte-level BPE file of ``tokenizers`` whose ids follow the order of merges."""
 
     def __init__(self, path: str | None = None):
-        path = path or public_tokenizers.path(DEFAULT)
-        self.slow = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
+        self.path = path or public_tokenizers.path(DEFAULT)
+        with open(self.path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = byte_letters()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {bytes(letters[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in self.special}
         self.fast = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
 
+    @cached_property
+    def slow(self) -> Tokenizer:
+        """The library's own form, made only if it is needed."""
+        return Tokenizer.from_file(self.path)
+
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, dtype=np.uint32)

@@ -9,9 +9,8 @@ Defined results: null or wordless texts have no words, no hits. An item shorter
 window of its own length. Rows with the same doc_id and text count as one row, as do items with the same item_id and
 text; other columns are ignored. A null item_id takes no part.
 
-Scale: one pass over the documents. A bitmap of fixed size (2**bits slots, filled from all items) drops k-grams that no
-item has before the shuffle; the join is on the k-gram's hash, so a passage in a third of all documents is a skewed
-join that AQE splits, and its other side is as small as the items that hold it.
+Scale: one pass over the documents. A bitmap of bounded size (filled from all items) drops k-grams that no item has
+before the shuffle; the join is on the k-gram's hash, so a passage in a third of all documents is a skewed join that AQE splits, and its other side is as small as the items that hold it.
 """
 
 from __future__ import annotations
@@ -23,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, WordHash, bitmap, grams, in_bitmap, map_rows, pick, signed
+from .common import U64, WordHash, bitmap, cut, grams, in_bitmap, map_rows, pick, signed
 
 #: A-Z to lower case, everything that isn't part of a word to a space.
 WORDS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 32 for b in range(256))
@@ -87,28 +86,28 @@ def item_prints(items: DataFrame, k: int, window: int) -> DataFrame:
     return map_rows(pick(items, item_id="long", text="string"), make, "item_id long, fp long, short int, ctx string").distinct()
 
 
-def decontaminate(documents: DataFrame, items: DataFrame, k: int = 5, window: int = 10, bits: int = 22) -> DataFrame:
-    """Per document (doc_id, text_key): n_words, spans (array of start, end in words, as matched), item_ids."""
+def decontaminate(documents: DataFrame, items: DataFrame, k: int = 5, window: int = 10, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Per document (the columns of ``key``, longs, and text_key): n_words, spans (array of start, end in words, as matched), item_ids."""
     if not 1 <= k <= window:
         raise ValueError("k must be from 1 to window")
-    spark = documents.sparkSession
-    prints = item_prints(items, k, window)
-    held = spark.sparkContext.broadcast(bitmap(prints, "fp", bits))
+    spark, key_columns = documents.sparkSession, key
+    prints = cut(item_prints(items, k, window), "prints")
+    held = spark.sparkContext.broadcast(bitmap(prints, "fp"))
     lengths = sorted(r.short for r in prints.filter("short > 0").select("short").distinct().collect())  # below window values at most
 
     def make():
         cache, seen = WordHash(), held.value
 
         def f(b: pa.RecordBatch):
-            ids, keys, kinds, fps, ns, ctxs = [], [], [], [], [], []
+            ids, keys, kinds, fps, ns, ctxs = [], [], [], [], [], []  # ids: numbers of rows
 
             def add(i, key, kind, fp, n, ctx):
                 ids.append(i), keys.append(key), kinds.append(kind), fps.append(fp), ns.append(n), ctxs.append(ctx)
 
-            for i, t in zip(b["doc_id"].to_pylist(), b["text"].to_pylist()):
+            for i, t in enumerate(b["text"].to_pylist()):
                 key = xxhash.xxh3_64_intdigest(b"\0" if t is None else b"\1" + t.encode()) - (1 << 63)
                 ws = words(t)
-                add(i, key, -1, key ^ (i or 0), len(ws), None)
+                add(i, key, -1, key ^ i, len(ws), None)
                 if not ws:
                     continue
                 h = cache.of(ws)
@@ -122,11 +121,12 @@ def decontaminate(documents: DataFrame, items: DataFrame, k: int = 5, window: in
                     at = np.flatnonzero(in_bitmap(g, seen)) if len(g) else ()
                     for p, v in zip(list(at), signed(g[at]).tolist() if len(at) else ()):
                         add(i, key, n, v, int(p), context(ws, int(p), n, 0))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(kinds, pa.int32()), pa.array(fps, pa.int64()), pa.array(ns, pa.int64()), pa.array(ctxs, pa.string())], ["doc_id", "text_key", "short", "fp", "n", "ctx"])
+            own = b.drop_columns(["text"]).take(pa.array(ids, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(keys, pa.int64()), pa.array(kinds, pa.int32()), pa.array(fps, pa.int64()), pa.array(ns, pa.int64()), pa.array(ctxs, pa.string())], [*key_columns, "text_key", "short", "fp", "n", "ctx"])
 
         return f
 
-    rows = map_rows(pick(documents, doc_id="long", text="string"), make, "doc_id long, text_key long, short int, fp long, n long, ctx string")
+    rows = map_rows(pick(documents, **dict.fromkeys(key, "long"), text="string"), make, "".join(f"{c} long, " for c in key) + "text_key long, short int, fp long, n long, ctx string")
 
     @F.pandas_udf("struct<s: long, e: long>")
     def span(n: pd.Series, short: pd.Series, a: pd.Series, b: pd.Series) -> pd.DataFrame:
@@ -142,7 +142,7 @@ def decontaminate(documents: DataFrame, items: DataFrame, k: int = 5, window: in
 
     met = rows.join(prints.withColumnRenamed("ctx", "item_ctx"), ["fp", "short"], "left").withColumn("span", span("n", "short", "ctx", "item_ctx"))
     hit = F.col("span.s").isNotNull()
-    return met.groupBy("doc_id", "text_key").agg(
+    return met.groupBy(*key, "text_key").agg(
         F.max(F.when(F.col("short") == -1, F.col("n"))).alias("n_words"),
         F.array_sort(F.collect_set(F.when(hit, F.struct(F.col("span.s").alias("s"), F.col("span.e").alias("e"))))).alias("spans"),
         F.collect_set(F.when(hit, F.col("item_id"))).alias("item_ids"),

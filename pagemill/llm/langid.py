@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_id, map_rows, pick
+from .common import crc_id, map_rows, map_texts, pick
 
 PER_LANGUAGE, WINDOWS, WORDS = 500, 4, 8
 BITS = 16
@@ -223,12 +223,10 @@ def label_words(text: str | None, model: Model) -> list[tuple[str, str]]:
 def identify(documents: DataFrame, model: Model | None) -> DataFrame:
     """All rows and columns, with lang_pred and score; columns of these names go."""
     held = documents.sparkSession.sparkContext.broadcast(model)
-    source = documents.drop("lang_pred", "score")
 
     def make():
-        def f(b: pa.RecordBatch):
+        def f(texts: list[str | None]) -> pa.Array:
             at, langs, scores = 0, [], []
-            texts = b["text"].to_pylist()
             while at < len(texts):  # parts of about a megabyte
                 to, size = at, 0
                 while to < len(texts) and size < 1_000_000:
@@ -238,13 +236,13 @@ def identify(documents: DataFrame, model: Model | None) -> DataFrame:
                 langs += l
                 scores += s
                 at = to
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, "lang_pred", "score"])
+            return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
         return f
 
-    source = source.withColumn("text", F.col("text").cast("string"))
-    schema = ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in source.schema) + ", lang_pred string, score double"
-    return map_rows(source, make, schema)
+    source = documents.drop("lang_pred", "score")
+    found = map_texts(source, "_found", make, "struct<lang_pred: string, score: double>")
+    return found.select(*(F.col(f"`{c}`") for c in source.columns), "_found.lang_pred", "_found.score")
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:

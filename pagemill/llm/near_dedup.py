@@ -16,9 +16,14 @@ least ``k`` values are a uniform sample of the set. Documents of equal sets form
    others, or among the others, are formed. So groups of thousands of near copies cost a few pairs a member, and of links
    between these components none is missed but by the estimate; classes that met in no list aren't joined here.
 
-Defined results: null and wordless texts have an empty set and no link. Under five words, the whole sequence is the one
-shingle. Rows with equal doc_id are one document if their sets are equal; otherwise both rows stay and are linked apart.
-Other columns are ignored. Sets are compared as 64-bit hashes (a clash within a pair has a chance under 1e-10).
+Classes are known by the 128-bit hash of their sets and numbered where they are written, so doc_ids play no part in links.
+
+Defined results: every row gives a row. Null and wordless texts have an empty set and no link. Under five words, the whole
+sequence is the one shingle. Rows that repeat a doc_id are linked by their own texts, each apart. A component is named by
+the least doc_id of its rows; null doc_ids name none, so a component of nulls alone has a null name. ``kept`` is whether
+the row's doc_id is the name, and true for all rows of a component without a name or without links.
+Other columns are ignored; an empty table gives an empty one. Shingles are compared as 64-bit hashes (a clash within a
+pair has a chance under 1e-10).
 """
 
 from __future__ import annotations
@@ -44,8 +49,8 @@ def shingles(text: str | None, k: int, cache: WordHash) -> np.ndarray:
     return np.unique(grams(h, k)) if len(ws) >= k else grams(h, len(ws)) + U64(len(ws))
 
 
-def sketches(documents: DataFrame, words: int, k: int) -> DataFrame:
-    """doc_id, n_shingles, class (hash of the full set), sketch (its k least values)."""
+def sketches(documents: DataFrame, words: int, k: int, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns of ``key`` (longs), n_shingles, class (hash of the full set), sketch (its k least values)."""
 
     def make():
         cache = WordHash()
@@ -55,39 +60,43 @@ def sketches(documents: DataFrame, words: int, k: int) -> DataFrame:
             for t in b["text"].to_pylist():
                 s = shingles(t, words, cache)
                 ns.append(len(s)), cs.append(xxhash.xxh3_128_digest(s.tobytes())), sk.append(signed(s[:k]))
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(ns, pa.int64()), pa.array(cs, pa.binary()), pa.array(sk, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "class", "sketch"])
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in key), pa.array(ns, pa.int64()), pa.array(cs, pa.binary()), pa.array(sk, pa.list_(pa.int64()))], [*key, "n_shingles", "class", "sketch"])
 
         return f
 
-    return map_rows(pick(documents, doc_id="long", text="string"), make, "doc_id long, n_shingles long, class binary, sketch array<long>")
+    return map_rows(pick(documents, **dict.fromkeys(key, "long"), text="string"), make, "".join(f"{c} long, " for c in key) + "n_shingles long, class binary, sketch array<long>")
 
 
-def full_sets(documents: DataFrame, wanted: DataFrame, words: int, bits: int = 22) -> DataFrame:
-    """node, set of the representatives in ``wanted`` (node). A bitmap of fixed size keeps other documents from leaving the scan."""
+def full_sets(documents: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """class, set of the classes whose representative's doc_id (0 for null) is in ``wanted`` (least). A bitmap keeps other documents
+    from leaving the scan, and a task hands on each class once. Other classes may pass as well."""
     spark = documents.sparkSession
-    held = spark.sparkContext.broadcast(slots_of(wanted.select(F.xxhash64("node").alias("h")), "h", bits))
-    docs = pick(documents, doc_id="long", text="string").withColumn("h", F.xxhash64("doc_id"))
+    held = spark.sparkContext.broadcast(slots_of(wanted.select(F.xxhash64("least").alias("h")), "h"))
+    docs = pick(documents, doc_id="long", text="string").select(F.xxhash64(F.coalesce("doc_id", F.lit(0).cast("long"))).alias("h"), "text")
 
     def make():
-        cache, seen = WordHash(), held.value
+        cache, seen, had = WordHash(), held.value, set()
 
         def f(b: pa.RecordBatch):
-            at = np.flatnonzero(in_bitmap(b["h"].to_numpy(zero_copy_only=False).view(U64), seen))
-            b = b.take(pa.array(at))
-            sets = [shingles(t, words, cache) for t in b["text"].to_pylist()]
-            keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(keys, pa.binary()), pa.array([signed(s) for s in sets], pa.list_(pa.int64()))], ["node", "class", "set"])
+            b = b.take(pa.array(np.flatnonzero(in_bitmap(b["h"].to_numpy(zero_copy_only=False).view(U64), seen))))
+            keys, sets = [], []
+            for t in b["text"].to_pylist():
+                s = shingles(t, words, cache)
+                key = xxhash.xxh3_128_digest(s.tobytes())
+                if key not in had:
+                    had.add(key), keys.append(key), sets.append(signed(s))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["class", "set"])
 
         return f
 
-    return map_rows(docs, make, "node long, class binary, set array<long>")
+    return map_rows(docs, make, "class binary, set array<long>")
 
 
 def prefix_pairs(nodes: DataFrame, sets: DataFrame, threshold: int, bound) -> DataFrame:
     """Pairs (node, node2) of different c among nodes (node, n, core, c) that the prefix filter can't exclude."""
     share = threshold / (100 + threshold)  # linked sets of n and n2 have at least this part of n + n2 in common
     tokens = cut(nodes.join(sets.select("node", "set"), "node").select("node", F.explode("set").alias("g")), "tokens")
-    df = tokens.groupBy("g").agg(F.count("*").alias("df")).filter("df > 1")
+    df = cut(tokens.groupBy("g").agg(F.count("*").alias("df")).filter("df > 1"), "tokens")
     rare = tokens.join(df, "g").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("rare"))
     # shingles of one set come first in the order, so they count as the prefix's first
     ordered = nodes.join(rare, "node").withColumn("own", F.col("n") - F.size("rare"))
@@ -103,7 +112,8 @@ def prefix_pairs(nodes: DataFrame, sets: DataFrame, threshold: int, bound) -> Da
     larger = larger.withColumn("t", prefix(F.col("n") + F.greatest(low, F.ceil(F.exp(F.col("band") / 33) - 1e-6)))).select("node", "n", "core", "c", "band", F.col("t.g").alias("g"))
     smaller = ordered.withColumn("t", prefix(2 * F.col("n"))).select("node", "n", "core", "c", band(F.col("n")).alias("band"), F.col("t.g").alias("g"))
     seen = larger.select("g", "band", "c").union(smaller.select("g", "band", "c")).groupBy("g", "band", "c").count()
-    lists = seen.groupBy("g", "band").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count("*").alias("cs")).filter("cs > 1").drop("cs")
+    # written before they are joined: only then can AQE split a list that most classes are in
+    lists = cut(seen.groupBy("g", "band").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count("*").alias("cs")).filter("cs > 1").drop("cs"), "lists")
     larger, smaller = cut(larger.join(lists, ["g", "band"]), "larger"), cut(smaller.join(lists.withColumnRenamed("main", "m2"), ["g", "band"]).select("g", "band", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("core").alias("core2"), F.col("c").alias("c2"), "m2"), "smaller")
     first = (F.col("n2") < F.col("n")) | (F.col("n2") == F.col("n")) & (F.col("node2") < F.col("node"))
     # of equal lengths, either may be the larger one of the pair; the order by node picks one, and both have the full prefix there
@@ -113,23 +123,25 @@ def prefix_pairs(nodes: DataFrame, sets: DataFrame, threshold: int, bound) -> Da
     return others.select("node", "node2").union(mains.select("node", "node2"))
 
 
-def near_components(documents: DataFrame, threshold: int = 85, words: int = 5, k: int = 64, lists: int = 32, share: int = 15) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept. Links: 100 * intersection >= threshold * union of the full sets."""
-    sig = cut(sketches(documents, words, k), "sketches")
-    # one node for each class of equal non-empty sets, named by its least doc_id
-    nodes = cut(sig.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "nodes")
+def near_classes(documents: DataFrame, key: tuple[str, ...] = ("doc_id",), threshold: int = 85, words: int = 5, k: int = 64, lists: int = 32, share: int = 15) -> DataFrame:
+    """The columns of ``key`` (longs, doc_id among them), n_shingles and component: a number that rows of linked sets have in
+    common, null for empty sets. Links: 100 * intersection >= threshold * union of the full sets."""
+    sig = cut(sketches(documents, words, k, key), "sketches")
+    # one node for each class of equal non-empty sets, numbered where it is written; least: the doc_id of a document that has it
+    classes = sig.filter("n_shingles > 0").groupBy("class").agg(F.coalesce(F.min("doc_id"), F.lit(0).cast("long")).alias("least"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    nodes = cut(classes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     postings = nodes.select("node", "n", F.explode(F.slice("sketch", 1, lists)).alias("value"))
-    shared = postings.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
+    # aggregates are written before they are joined, as AQE splits a value that most classes have only between plain exchanges
+    shared = cut(postings.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1"), "shared")
     held = F.least(F.col("n"), F.lit(lists))
     need = F.greatest(F.floor(held * (share / lists)), F.lit(1)).cast("int")  # values a linked set must share at least
     mine = postings.join(shared, "value").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("rare"))
     mine = mine.withColumn("take", (F.size("rare") - need + 1).cast("int")).filter("take > 0")
     entries = cut(mine.select("node", "n", F.explode(F.slice("rare", F.lit(1), F.col("take"))).alias("e")).select("node", "n", F.col("e.value").alias("value")), "postings")
 
-    listed = entries.select("node").distinct()
-    # two nodes may have the same doc_id only where rows repeat it with other texts; the class tells their sets apart
-    sets = cut(full_sets(documents, listed, words).join(nodes.select("class", "node", "sketch"), ["class", "node"]).groupBy("node").agg(F.first("set").alias("set"), F.first("sketch").alias("sketch")), "sets")
+    listed = cut(nodes.join(entries.select("node").distinct(), "node").select("class", "node", "least", "sketch"), "listed")
+    sets = cut(full_sets(documents, listed, words).join(listed.select("class", "node", "sketch"), "class").dropDuplicates(["node"]).select("node", "set", "sketch"), "sets")
 
     # shingles that no other listed class has: own; those of the class are counted exactly, by one aggregation
     own = sets.select("node", F.explode("set").alias("g")).groupBy("g").agg(F.count("*").alias("df"), F.min("node").alias("node")).filter("df = 1").groupBy("node").agg(F.count("*").alias("own"))
@@ -167,22 +179,38 @@ def near_components(documents: DataFrame, threshold: int = 85, words: int = 5, k
 
     # hubs: the class of least own share in each list
     order = F.struct(-F.col("core") / F.col("n"), F.col("node"))
-    hub = entries.groupBy("value").agg(F.min_by(F.struct("node", "n", "core"), order).alias("hub"))
+    hub = cut(entries.groupBy("value").agg(F.min_by(F.struct("node", "n", "core"), order).alias("hub")), "hubs")
     pairs = entries.join(hub, "value").select("node", "n", "core", F.col("hub.node").alias("node2"), F.col("hub.n").alias("n2"), F.col("hub.core").alias("core2"))
     comps = components(cut(verified(pairs.filter((F.col("node") != F.col("node2")) & bound(F.col("n"), F.col("core"), F.col("n2"), F.col("core2")))), "links"))
 
     now = entries.join(comps, "node", "left").withColumn("c", F.coalesce("component", "node"))
-    several = now.groupBy("value").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 <> c2").select("value")
+    now = cut(now, "now")
+    several = cut(now.groupBy("value").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 <> c2").select("value"), "several")
     left = cut(now.join(several, "value").select("node", "n", "core", "c").distinct(), "open")
     if not left.isEmpty():
         found = cut(verified(prefix_pairs(left, sets, threshold, bound)), "links")
         comps = components(comps.select(F.col("node").alias("u"), F.col("component").alias("v")).union(found))
 
-    named = nodes.select("class", "node").join(comps, "node", "left").select("class", F.coalesce("component", "node").alias("component_id"))
-    # empty sets are in no class; they and null ids join nothing
-    full = sig.filter("n_shingles > 0").select("doc_id", "n_shingles", "class").join(named, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    none = sig.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return full.union(none).distinct().withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    named = cut(nodes.select("class", "node").join(comps, "node", "left").select("class", F.coalesce("component", "node").alias("component")), "named")
+    # empty sets are in no class and join nothing; a class of a third of all rows is a skewed join, which AQE splits
+    linked = sig.filter("n_shingles > 0").join(named, "class").select(*key, "n_shingles", "component")
+    return linked.union(sig.filter("n_shingles = 0").select(*key, "n_shingles", F.lit(None).cast("long")))
+
+
+def near_components(documents: DataFrame, threshold: int = 85, words: int = 5) -> DataFrame:
+    """doc_id, n_shingles, component_id (the component's least doc_id), kept; a row for each row."""
+    rows = cut(near_classes(documents, threshold=threshold, words=words), "classes")
+    names = cut(rows.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("name")), "names")
+    whole = rows.join(names, "component", "left").withColumn("component_id", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("name")))
+    return whole.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+
+
+def repeated_rows(documents: DataFrame, threshold: int = 85, words: int = 5) -> DataFrame:
+    """_file, _row (those of ``common.row_ids``) of all rows but one of each component, that of the least doc_id; a null doc_id comes last."""
+    rows = cut(near_classes(documents, ("doc_id", "_file", "_row"), threshold, words).filter("component IS NOT NULL"), "classes")
+    place = F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "_file", "_row")
+    first = cut(rows.groupBy("component").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("component", "first"), "firsts")
+    return rows.join(first, "component").filter((F.col("_file") != F.col("first._file")) | (F.col("_row") != F.col("first._row"))).select("_file", "_row")
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

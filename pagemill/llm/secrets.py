@@ -4,8 +4,9 @@ All rules, read backwards, are compiled into a single minimal automaton. It pass
 and its accepting states tell at each byte which rules match from there on. Texts without any are done; for the others each
 rule's own automaton finds, from the leftmost start on, the longest match, then goes on behind it.
 
-Defined results: a null text is empty, without spans. Every row of the input gives a row, repeated ones too; extra columns
-pass through the operator untouched if named in ``keep``. Offsets are code points, the end exclusive.
+Defined results: a null text is empty, without spans (``drop_secrets`` leaves it null). Every row of the input gives a row, repeated ones
+and those of null or repeated ids too. ``scan_secrets`` ignores other columns, ``drop_secrets`` passes them through, whatever their names.
+An empty table gives an empty one. Offsets are code points, the end exclusive.
 """
 
 from __future__ import annotations
@@ -102,9 +103,13 @@ class Scanner:
                 if done - self.longest(self.values[r], data, at) >= rule.least:
                     found.append((at, r, done))
         found.sort()
-        wide = not data.isascii()
-        point = (lambda n: len(data[:n].decode(errors="ignore"))) if wide else (lambda n: n)
-        return [(self.rules[r].kind, point(a), point(e)) for a, r, e in found]
+        if data.isascii():
+            return [(self.rules[r].kind, a, e) for a, r, e in found]
+        points, at, n = {}, 0, 0  # code points before each place, by one running count
+        for place in sorted({x for a, _, e in found for x in (a, e)}):
+            n += len(data[at:place].decode(errors="ignore"))
+            at, points[place] = place, n
+        return [(self.rules[r].kind, points[a], points[e]) for a, r, e in found]
 
 
 def scan_secrets(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

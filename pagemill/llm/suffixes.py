@@ -193,16 +193,16 @@ def settle(rows: DataFrame, length: int, last: bool, name: str) -> tuple[DataFra
     return done, todo
 
 
-def repeated_spans(documents: DataFrame, length: int = LENGTH, reach: int = 160, bits: int = 24) -> DataFrame:
+def repeated_spans(documents: DataFrame, length: int = LENGTH, reach: int = 160) -> DataFrame:
     """doc_id, text and spans: sorted, separate byte ranges (s, e) that repeated strings of ``length`` bytes cover."""
     if length < reach + GRAM - 1 or reach < 2 * STEP or length + 1 - reach < GRAM:
         raise ValueError("length must be at least reach + 31")
     sc = documents.sparkSession.sparkContext
     docs = pick(documents, doc_id="long", text="string").withColumn("row_key", F.xxhash64("doc_id", "text"))
     keyed = docs.select("row_key", "text")
-    # first, the short cores alone: which occur twice at all; a bitmap of fixed size then thins out the full units
+    # first, the short cores alone: which occur twice at all; a bitmap of bounded size then thins out the full units
     twice = cut(units(keyed, 0, reach, length, only_core=True).groupBy("c1").count().filter("count > 1").select("c1"), "cores")
-    seen = sc.broadcast(bitmap(twice, "c1", bits))
+    seen = sc.broadcast(bitmap(twice, "c1"))
     spans, rows = None, units(keyed, 0, reach, length, seen)
     for level in (0, 1, 2):
         done, todo = settle(rows, length, level == 2, f"level{level}")
@@ -210,12 +210,12 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, reach: int = 160,
         if todo is None:
             break
         per = cut(todo.groupBy("row_key").agg(F.collect_list(F.struct("a", "p", "q", "mine")).alias("todo")), f"todo{level}")
-        rows = units(_only(keyed, per, 22).dropDuplicates(["row_key"]).join(per, "row_key"), level + 1, reach, length)
+        rows = units(_only(keyed, per).dropDuplicates(["row_key"]).join(per, "row_key"), level + 1, reach, length)
     merged = cut(spans.groupBy("row_key").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("found")), "spans")
-    maybe = _only(docs, merged, 22)
+    maybe = _only(docs, merged)
     none = F.array().cast("array<struct<s: bigint, e: bigint>>")
     # documents outside the bitmap surely have none, so their texts needn't move
-    clean = _only(docs, merged, 22, inside=False).select("doc_id", "text", none.alias("spans"))
+    clean = _only(docs, merged, inside=False).select("doc_id", "text", none.alias("spans"))
 
     def join_up():
         def f(b: pa.RecordBatch):
@@ -237,9 +237,9 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, reach: int = 160,
     return hit.unionByName(clean)
 
 
-def _only(docs: DataFrame, keys: DataFrame, bits: int, inside: bool = True) -> DataFrame:
-    """The documents whose row_key may be among the keys, by a bitmap of fixed size; or those whose key surely isn't."""
-    held = docs.sparkSession.sparkContext.broadcast(bitmap(keys, "row_key", bits))
+def _only(docs: DataFrame, keys: DataFrame, inside: bool = True) -> DataFrame:
+    """The documents whose row_key may be among the keys, by a bitmap of bounded size; or those whose key surely isn't."""
+    held = docs.sparkSession.sparkContext.broadcast(bitmap(keys, "row_key"))
 
     def make():
         def f(b: pa.RecordBatch):

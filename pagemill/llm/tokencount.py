@@ -4,7 +4,7 @@ A document's text is cut into pre-tokens, which BPE never merges across. Runs of
 tree that holds their characters and tokens; inner nodes hold sums. An edit finds its leaf by descending the tree, and
 encodes again from the leaf of the characters before it (boundary context: what pre-tokens there look ahead at) up to the first
 pre-token that ends where an old leaf ended behind the edit; from there on pre-tokens are as before. The new counts go to
-the touched leaves, and the sums on their paths follow.
+the touched leaves, and the sums on their paths follow; leaves that have grown to twice their size are split.
 
 Defined results: a null text is empty: no tokens. Strings of special tokens are ordinary text. An edit (start, drop, add) counts in
 code points of the text as the edits before it left it; places beyond the end mean the end, nulls mean 0 and "".
@@ -45,37 +45,53 @@ class Counter(dict):
         n = self[piece] = len(self.coder.fast.encode_ordinary(piece)) if len(piece) < 400 else len(self.coder.fast._encode_single_piece(piece.encode()))
         return n
 
-    def pieces(self, text: str, start: int = 0) -> Iterator[tuple[int, str]]:
-        """(end, pre-token) from a pre-token's start on. Beyond common letters the regex module knows other classes, so the tokenizer splits."""
-        if self.unusual.search(text, start):
-            for _, (a, e) in self.coder.slow.pre_tokenizer.pre_tokenize_str(text[start:]):
-                yield start + e, text[start + a : start + e]
-        else:
-            for m in self.pattern.finditer(text, start):
-                yield m.end(), m[0]
+    def cut(self, text: str) -> list[int]:
+        """Where the pre-tokens of a text end. Beyond common letters the regex module knows other classes, so the tokenizer splits."""
+        if self.unusual.search(text):
+            return [e for _, (_, e) in self.coder.slow.pre_tokenizer.pre_tokenize_str(text)]
+        return [m.end() for m in self.pattern.finditer(text)]
+
+    def pieces(self, text: str, start: int = 0, window: int = 1 << 12) -> Iterator[tuple[int, str]]:
+        """(end, pre-token) from a pre-token's start on, split a window at a time, so that an edit costs the same in texts of any length and script."""
+        while start < len(text):
+            ends = self.cut(text[start : start + window])
+            if start + window < len(text):
+                # the last may go on behind the window, and white space before it may end elsewhere then
+                ends, wider = ends[:-2], window * 2
+                if not ends:
+                    window = wider
+                    continue
+            at = 0
+            for e in ends:
+                yield start + e, text[start + at : start + e]
+                at = e
+            start += at
 
     def all(self, text: str) -> list[str]:
-        return self.pattern.findall(text) if not self.unusual.search(text) else [p for _, p in self.pieces(text)]
+        return self.pattern.findall(text) if not self.unusual.search(text) else [p for _, p in self.pieces(text, window=1 << 20)]
 
 
 class Tree:
     """The segment tree of one text."""
 
     def __init__(self, text: str | None, counter: Counter, leaf: int = LEAF):
-        self.text, self.counter = text or "", counter
+        self.text, self.counter, self.leaf = text or "", counter, leaf
         pieces = counter.all(self.text)
         self.n_pieces = self.encoded = len(pieces)
-        starts = range(0, len(pieces), leaf)
-        self.size = 1 << max(0, len(starts) - 1).bit_length()
-        self.leaves = len(starts)
+        at = np.arange(0, len(pieces), leaf)
+        lens, toks = (np.fromiter(map(f, pieces), np.int64, len(pieces)) for f in (len, counter.__getitem__))
+        self.build(*((np.add.reduceat(x, at) if pieces else x) for x in (lens, toks)))
+
+    def build(self, chars: np.ndarray, tokens: np.ndarray) -> None:
+        """The sums over the leaves' characters and tokens."""
+        self.leaves = len(chars)
+        self.size = 1 << max(0, self.leaves - 1).bit_length()
         self.chars, self.tokens = np.zeros(2 * self.size, np.int64), np.zeros(2 * self.size, np.int64)
-        if pieces:
-            at = np.array(starts)
-            for sums, values in ((self.chars, map(len, pieces)), (self.tokens, map(counter.__getitem__, pieces))):
-                sums[self.size : self.size + self.leaves] = np.add.reduceat(np.fromiter(values, np.int64, len(pieces)), at)
-                for level in range(self.size.bit_length() - 2, -1, -1):
-                    lo = 1 << level
-                    sums[lo : 2 * lo] = sums[2 * lo : 4 * lo : 2] + sums[2 * lo + 1 : 4 * lo : 2]
+        for sums, values in ((self.chars, chars), (self.tokens, tokens)):
+            sums[self.size : self.size + self.leaves] = values
+            for level in range(self.size.bit_length() - 2, -1, -1):
+                lo = 1 << level
+                sums[lo : 2 * lo] = sums[2 * lo : 4 * lo : 2] + sums[2 * lo + 1 : 4 * lo : 2]
 
     @property
     def total(self) -> int:
@@ -107,7 +123,7 @@ class Tree:
             return
         fresh = self.text[:start] + add + self.text[stop:]
         if not self.leaves:
-            self.__init__(fresh, self.counter)
+            self.__init__(fresh, self.counter, self.leaf)
             return
         # a pre-token looks past its end: two characters for a contraction, else over the white space that follows
         before = max(0, start - 3)
@@ -129,11 +145,16 @@ class Tree:
             if at >= start + len(add) and at == end + shift and end >= stop:
                 break
         self.encoded += len(lens)
-        slots = last - first + 1
+        self.text, had = fresh, last - first + 1
+        slots = had if len(lens) <= 2 * self.leaf * had else -(-len(lens) // self.leaf)  # leaves that grew too full are split
         cut = [len(lens) * i // slots for i in range(slots + 1)]
-        for i in range(slots):
-            self.put(first + i, sum(lens[cut[i] : cut[i + 1]]), sum(toks[cut[i] : cut[i + 1]]))
-        self.text = fresh
+        sums = [[sum(x[a:b]) for a, b in zip(cut, cut[1:])] for x in (lens, toks)]
+        if slots == had:
+            for i in range(slots):
+                self.put(first + i, sums[0][i], sums[1][i])
+        else:
+            old = (x[self.size : self.size + self.leaves] for x in (self.chars, self.tokens))
+            self.build(*(np.concatenate([x[:first], y, x[last + 1 :]]) for x, y in zip(old, sums)))
 
 
 def count_tokens(documents: DataFrame, leaf: int = LEAF, tokenizer: str | None = None) -> DataFrame:

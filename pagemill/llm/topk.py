@@ -1,29 +1,35 @@
 """Exact top-k inner products by no-random-access aggregation.
 
 Each task holds one batch of vectors as one list per dimension, sorted by component. For a query, the lists are read
-from the end that contributes most, all to the same depth, in growing chunks. What a vector has shown so far gives its lower bound (its
-unseen components at the lists' far ends) and its upper bound (at the lists' current depth). Reading stops when no vector
-that hasn't been seen can reach the k-th best lower bound; of the seen, those whose upper bound still can are resolved
-to exact scores. The k-th best score among a few seeds, and the task's k best so far, are bounds to start from.
+from the end that contributes most, all to the same depth, a chunk after the other; each entry read is added to its vector's partial sum.
+What a vector has shown so far gives its lower bound (its unseen components at the lists' far ends) and its upper bound (at the
+lists' current depth). Reading stops when no vector that hasn't been seen can reach the k-th best lower bound or the task's k best so far;
+of the seen, those whose upper bound still can are resolved to exact scores. A task's first batch is small, so that the others have a bound to start from.
 
-Queries come in blocks of at most ``block`` vectors, which bounds what is broadcast. Every task hands on k rows a query.
+Queries come in blocks of at most ``block`` vectors, one after the other, which bounds what is collected and broadcast at a time.
+Every task hands on k rows a query.
 
 Defined results: a component is floor(scale * x) as an integer. Vectors that are null, empty, or hold null or non-finite
 components take no part, nor do null ids. A query only meets vectors of its own dimension, and none of its own id.
-Equal scores rank by id; repeated candidate rows each count. Extra columns are ignored.
+Equal scores rank by id; repeated candidate rows each count. Rows that give a query id several vectors are one query, whose
+candidates are scored with each of them. Sums are whole numbers: in doubles while these hold them exactly, else in 64 bits or Python's integers; scores
+beyond 64 bits become the nearest that fits. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 SCALE, K = 1024, 10
-SEEDS = 512  #: candidates whose scores give the first lower bounds; results don't depend on them
+FIRST = 512  #: rows of a task's first batch
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -38,88 +44,103 @@ class Lists:
     """A batch of vectors as sorted lists."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
-        n, d = rows.shape
-        self.ids, self.rows, self.real = ids, rows, rows.astype(float)
-        order = np.argsort(rows, axis=0, kind="stable")
-        self.values = np.take_along_axis(rows, order, axis=0).T  # ascending, a list for each dimension
-        self.place = np.empty((n, d), dtype=np.int32)  # of each component in its list
-        np.put_along_axis(self.place, order, np.arange(n, dtype=np.int32)[:, None], axis=0)
-
-    def best(self, query: np.ndarray, own: int, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-        """ids and exact scores of the rows that may be among the k best, given that scores below ``floor`` are not."""
+        self.ids, self.rows = ids, rows
+        order = np.argsort(rows, axis=0, kind="stable").T.astype(np.int32)  # a list for each dimension
+        values = np.take_along_axis(rows.T, order, axis=1)
+        # from the low end and from the high end
+        self.order, self.values = np.stack([order, order[:, ::-1]]), np.stack([values, values[:, ::-1]])
+        self.size = max(abs(int(rows.max())), abs(int(rows.min()))) * rows.shape[1]
+
+    def best(self, query: np.ndarray, own: int, k: int, floor) -> tuple[np.ndarray, np.ndarray]:
+        """ids and exact scores of the rows that may be among the k best, given that scores below ``floor`` (if any) are not."""
         n, d = self.rows.shape
-        up, dims, q = query >= 0, np.arange(d), query.astype(float)
-        last = np.where(up, self.values[:, 0], self.values[:, -1]) * q  # what an unseen component gives at least
-        others, depth, step = self.ids != own, 0, max(16, n // 16)
-        alive = np.flatnonzero(others)
-        while depth + step < n:
+        most = self.size * max(abs(int(query.max())), abs(int(query.min()))) * 2
+        kind = float if most < 1 << 53 else np.int64 if most < 1 << 63 else object
+        q, side, dims = query.astype(kind), (query >= 0).astype(np.int64), np.arange(d)
+        last = self.values[1 - side, dims, 0].astype(kind) * q  # what an unseen component gives at least: the end that is read last
+        step, depth, alive = max(16, n // 16), 0, None
+        lower = np.full(n, last.sum(), dtype=kind)
+        others = self.ids != own
+        read = []
+        while depth + step < n and alive is None:
+            who = self.order[side, dims, depth : depth + step]
+            gives = self.values[side, dims, depth : depth + step].astype(kind) * q[:, None]
             depth += step
-            edge = np.where(up, self.values[dims, n - depth], self.values[dims, depth - 1]) * q  # and at most
-            if edge.sum() >= floor and (floor > -np.inf or depth % (4 * step)):
-                continue  # outsiders may qualify; without a floor, every fourth chunk's lower bounds may give one
-            seen = np.where(up, self.place >= n - depth, self.place < depth)
-            shown = self.real * q  # whole numbers far below 2**53, so sums are exact
-            lower = np.where(others, np.where(seen, shown, last).sum(axis=1), -np.inf)
-            bound = max(floor, np.partition(lower, n - k)[n - k] if n > k else -np.inf)
-            if edge.sum() < bound:  # no outsider qualifies
-                alive = np.flatnonzero((np.where(seen, shown, edge).sum(axis=1) >= bound) & others)
-                break
-        return self.ids[alive], (self.real[alive] @ q).astype(np.int64)
-
-
-def floors(queries: np.ndarray, ids: list[int], seeds: tuple | None, k: int) -> np.ndarray:
-    """The k-th best score among a few candidates, for each query: a true lower bound from which every task starts."""
-    if seeds is None or len(seeds[0]) <= k:
-        return np.full(len(ids), -np.inf)
-    scores = (queries @ np.array(seeds[1]).T).astype(float)
-    scores[np.array(ids)[:, None] == np.array(seeds[0])] = -np.inf
-    return np.partition(scores, len(seeds[0]) - k, axis=1)[:, len(seeds[0]) - k]
+            read.append((who, gives))
+            self.add(lower, who, gives - last[:, None])
+            edge = self.values[side, dims, depth - 1].astype(kind) * q  # and what an unseen one gives at most
+            outside = edge.sum()
+            if floor is not None and outside < floor:
+                bound = floor
+            elif np.count_nonzero(others) > k and (depth // step) % 2 == 0:
+                bound = np.sort(lower[others])[-k] if kind is object else np.partition(lower[others], -k)[-k]
+            else:
+                continue
+            if outside < bound:  # no outsider qualifies
+                bound = bound if floor is None else max(bound, floor)
+                upper = np.full(n, outside, dtype=kind)
+                for who, gives in read:
+                    self.add(upper, who, gives - edge[:, None])
+                alive = np.flatnonzero((upper >= bound) & others)
+        if alive is None:
+            alive = np.flatnonzero(others)
+        return self.ids[alive], self.rows[alive].astype(kind) @ q if len(alive) else np.empty(0, dtype=kind)
+
+    @staticmethod
+    def add(sums: np.ndarray, who: np.ndarray, what: np.ndarray) -> None:
+        if sums.dtype == float:
+            sums += np.bincount(who.ravel(), weights=what.ravel(), minlength=len(sums))
+        else:
+            np.add.at(sums, who.ravel(), what.ravel())
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score; both frames have vec_id and v (array of long)."""
     spark = vectors.sparkSession
-    n = queries.count()
-    seeds: dict[int, tuple[list, np.ndarray]] = {}
-    for r in vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SEEDS).collect():
-        seeds.setdefault(len(r.v), ([], []))[0].append(r.vec_id)
-        seeds[len(r.v)][1].append(r.v)
-    blocks = max(1, -(-n // block))
-    found = None
+    blocks = max(1, -(-queries.count() // block))
+    found = []
     for i in range(blocks):
-        own = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).distinct().collect()
         by_size: dict[int, list] = {}
-        for q in own:
+        for q in queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).distinct().collect():
             by_size.setdefault(len(q.v), []).append((q.vec_id, np.array(q.v, dtype=np.int64)))
-        held = spark.sparkContext.broadcast([(d, [x for x, _ in qs], m, floors(m, [x for x, _ in qs], seeds.get(d), k)) for d, qs in by_size.items() for m in [np.array([v for _, v in qs])]])
+        held = spark.sparkContext.broadcast([(d, [x for x, _ in qs], np.array([v for _, v in qs])) for d, qs in by_size.items()])
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             state: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
-            for b in batches:
-                ids, lens = b["vec_id"].to_numpy(zero_copy_only=False), np.diff(b["v"].offsets.to_numpy())
-                flat, starts = b["v"].values.to_numpy(zero_copy_only=False), b["v"].offsets.to_numpy()[:-1]
-                for d, qids, matrix, start in held.value:
+
+            def meet(b: pa.RecordBatch) -> None:
+                offsets = b["v"].offsets.to_numpy()
+                ids, lens, starts = b["vec_id"].to_numpy(zero_copy_only=False), np.diff(offsets), offsets[:-1]
+                flat = b["v"].values.to_numpy(zero_copy_only=False)
+                for d, qids, matrix in held.value:
                     rows = np.flatnonzero(lens == d)
                     if not len(rows):
                         continue
                     lists = Lists(ids[rows], flat[starts[rows][:, None] + np.arange(d)])
                     for j, qid in enumerate(qids):
                         had = state.get((d, j))
-                        floor = max(start[j], had[1][-1] if had is not None and len(had[1]) == k else -np.inf)
-                        new_ids, scores = lists.best(matrix[j], qid, k, floor)
+                        new_ids, scores = lists.best(matrix[j], qid, k, had[1][-1] if had is not None and len(had[1]) == k else None)
                         if had is not None:
                             new_ids, scores = np.concatenate([had[0], new_ids]), np.concatenate([had[1], scores])
-                        first = np.lexsort((new_ids, -scores))[:k]
+                        first = np.lexsort((new_ids, -scores))[:k] if scores.dtype != object else np.array(sorted(range(len(scores)), key=lambda x: (-scores[x], new_ids[x]))[:k], dtype=np.int64)
                         state[d, j] = new_ids[first], scores[first]
+
+            for b in batches:
+                first = FIRST if not state else 0
+                if first:
+                    meet(b.slice(0, first))
+                if b.num_rows > first:
+                    meet(b.slice(first))
             if state:
                 qids = {d: x for d, x, *_ in held.value}
                 q = np.concatenate([np.full(len(v[0]), qids[d][j]) for (d, j), v in state.items()])
-                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(np.concatenate([v[0] for v in state.values()])), pa.array(np.concatenate([v[1] for v in state.values()]))], ["query_id", "vec_id", "score"])
+                scores = [min(max(int(s), -(1 << 63)), (1 << 63) - 1) for v in state.values() for s in v[1].tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(np.concatenate([v[0] for v in state.values()])), pa.array(scores, pa.int64())], ["query_id", "vec_id", "score"])
 
-        part = vectors.mapInArrow(run, "query_id long, vec_id long, score long")
-        found = part if found is None else found.union(part)
+        found.append(cut(vectors.mapInArrow(run, "query_id long, vec_id long, score long"), "best"))
+        held.destroy()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return reduce(DataFrame.union, found).withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from .common import crc_id, cut, map_rows, pick
 
 TRAIN_ROWS, MOST_TERMS, THRESHOLD = 20_000, 3000, 0.7
+LEAST = 3  #: toxic training documents that a term must be in, however many there are
 #: Letters that look like Latin ones.
 LOOKALIKES = dict(zip("авсеніјкмопрѕтухԁɡӏ", "abcehijkmonpstyxdgl")) | dict(zip("αβεικνορτυχ", "abeiknoptyx"))
 #: Signs that stand for letters inside a word.
@@ -134,9 +135,8 @@ def learn(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS,
     n_pos, n_neg = size.get(1, 0), size.get(0, 0)
     if not n_pos or not n_neg:
         return Model({}, frozenset(), -30.0, (0.0, 0.0, 0.0))
-    least = max(3, n_pos // 250)
     # terms of enough toxic documents (a number bounded by their words), then in how many others these are
-    common = _counts(rows.filter("toxic = 1"), lambda t: _beginnings(set(fold(t).split()))).filter(F.col("pos") >= least).orderBy(F.desc("pos"), "term").limit(50 * most_terms)
+    common = _counts(rows.filter("toxic = 1"), lambda t: _beginnings(set(fold(t).split()))).filter(F.col("pos") >= LEAST).orderBy(F.desc("pos"), "term").limit(50 * most_terms)
     pos = {r.term: r.pos for r in common.collect()}
     known = frozenset(pos)
     neg = {r.term: r.neg for r in _counts(rows.filter("toxic = 0"), lambda t: known & _beginnings(set(fold(t).split()))).collect()}
