@@ -50,7 +50,7 @@ _word = re.compile(r"\S+\s*")
 def split_prose(text: str, path: list[str], p: Profile, count: TokenCounter) -> list[str]:
     """Pieces of at most ``target`` tokens, each after an overlap from the one before; cut at sentences, else words, else characters."""
     sentence_ends, word_ends = [m.end() for m in _sentence.finditer(text)], [m.end() for m in _word.finditer(text)]
-    out, at, core = [], 0, ""
+    out, at, core, plain = [], 0, "", count is words
     while at < len(text):
         lead = ""
         if p.overlap:
@@ -64,9 +64,13 @@ def split_prose(text: str, path: list[str], p: Profile, count: TokenCounter) ->
             piece = text[at:end].strip()
             return count(embedding_input(path, f"{lead} {piece}" if lead else piece)) <= p.target
 
+        # of words, a piece holds no more than its limit, so nothing behind that many needs a look
+        behind = bisect_right(word_ends, at) + p.target if plain else len(word_ends)
+        limit = word_ends[behind - 1] if behind <= len(word_ends) else len(text)
+
         def last(ends: list[int]) -> int | None:
-            after = ends[bisect_right(ends, at) :]
-            if count is words:  # word counts grow with the text, so the last that fits is found by halving
+            after = ends[bisect_right(ends, at) : bisect_right(ends, limit)]
+            if plain:  # word counts grow with the text, so the last that fits is found by halving
                 lo, hi = 0, len(after)
                 while lo < hi:
                     mid = (lo + hi) // 2
@@ -74,7 +78,7 @@ def split_prose(text: str, path: list[str], p: Profile, count: TokenCounter) ->
                 return after[lo - 1] if lo else None
             return max((e for e in after if fits(e)), default=None)
 
-        end = len(text) if fits(len(text)) else last(sentence_ends) or last(word_ends)
+        end = len(text) if (not plain or limit == len(text)) and fits(len(text)) else last(sentence_ends) or last(word_ends)
         if end is None:
             lo, hi = at, len(text)
             while lo < hi:
@@ -124,11 +128,16 @@ def pack_section(units: list[dict], path: list[str], p: Profile, count: TokenCou
 
 
 def chunk_sections(sections: DataFrame, profile: Profile = Profile(), count: TokenCounter = words, key: str = "doc_key") -> DataFrame:
-    """key, section, chunks, error_code from rows of heading_path and units."""
+    """key, section, chunks, error_code from rows of heading_path and units. With the plain word counter, sections that fit are one chunk
+    natively, and Python gets null for them."""
 
     def run(paths: pd.Series, units: pd.Series) -> pd.DataFrame:
         chunks, errors = [], []
         for path, us in zip(paths, units):
+            if us is None:
+                chunks.append(None)
+                errors.append(None)
+                continue
             try:
                 chunks.append(pack_section([dict(u) if isinstance(u, dict) else u.asDict() for u in us], list(path), profile, count))
                 errors.append(None)
@@ -138,7 +147,12 @@ def chunk_sections(sections: DataFrame, profile: Profile = Profile(), count: Tok
         return pd.DataFrame({"chunks": chunks, "error_code": errors})
 
     packed = F.pandas_udf(run, f"struct<chunks: array<{CHUNK}>, error_code: string>")
-    return sections.withColumn("_c", packed("heading_path", "units")).select(key, "section", "_c.chunks", "_c.error_code")
+    if count is not words:
+        return sections.withColumn("_c", packed("heading_path", "units")).select(key, "section", "_c.chunks", "_c.error_code")
+    one = whole_sections(sections).withColumn("_fits", F.col("n_tokens") <= profile.soft)
+    one = one.withColumn("_c", packed("heading_path", F.when(~F.col("_fits"), F.col("units"))))
+    native = F.array(F.struct("heading_path", "text", "content_type", "content_role", "source_line_start", "source_line_end", "page_start", "page_end")).cast(f"array<{CHUNK}>")
+    return one.select(key, "section", F.when(F.col("_fits"), native).otherwise(F.col("_c.chunks")).alias("chunks"), "_c.error_code")
 
 
 def number_chunks(chunked: DataFrame, key: str = "doc_key") -> DataFrame:
@@ -148,14 +162,25 @@ def number_chunks(chunked: DataFrame, key: str = "doc_key") -> DataFrame:
     return rows.withColumn("chunk_index", F.row_number().over(Window.partitionBy(key).orderBy("section", "_p")) - 1).select(key, "chunk_index", "c.*")
 
 
+def whole_sections(units: DataFrame) -> DataFrame:
+    """Sections with the columns that each has as one chunk, and n_tokens: its words, path included."""
+    text = F.array_join(F.transform("units", lambda x: x.text), "\n\n")
+    kinds = F.array_distinct(F.transform("units", lambda x: F.when(x.kind == "code", "code").otherwise("text")))
+    field = lambda pick, name: pick(F.transform("units", lambda x: x[name]))
+    return units.withColumns({
+        "text": text,
+        "n_tokens": word_count(F.concat_ws("\n\n", F.col("heading_path"), text)),
+        "content_type": F.when(F.size(kinds) == 1, kinds[0]).otherwise("mixed"),
+        "content_role": F.col("units")[0].content_role,
+        "source_line_start": field(F.array_min, "line_start"),
+        "source_line_end": field(F.array_max, "line_end"),
+        "page_start": field(F.array_min, "page_number"),
+        "page_end": field(F.array_max, "page_number"),
+    })
+
+
 def fitting_sections(nodes: DataFrame, soft: int, key: str = "doc_key") -> DataFrame:
     """Sections of at most ``soft`` words, path included, each as one chunk: native all through (the plain word counter)."""
     from .structure import section_units
 
-    u = section_units(nodes, key)
-    text = F.array_join(F.transform("units", lambda x: x.text), "\n\n")
-    kinds = F.array_distinct(F.transform("units", lambda x: F.when(x.kind == "code", "code").otherwise("text")))
-    one = u.withColumn("text", text).withColumn("n_tokens", word_count(F.concat_ws("\n\n", F.col("heading_path"), text)))
-    one = one.withColumn("content_type", F.when(F.size(kinds) == 1, kinds[0]).otherwise("mixed")).withColumn("content_role", F.col("units")[0].content_role)
-    spans = {"source_line_start": F.array_min(F.transform("units", lambda x: x.line_start)), "source_line_end": F.array_max(F.transform("units", lambda x: x.line_end)), "page_start": F.array_min(F.transform("units", lambda x: x.page_number)), "page_end": F.array_max(F.transform("units", lambda x: x.page_number))}
-    return one.filter(F.col("n_tokens") <= soft).withColumns(spans).drop("units")
+    return whole_sections(section_units(nodes, key)).filter(F.col("n_tokens") <= soft).drop("units")

@@ -14,9 +14,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from ..schemas import NODES, node
 
 
+# The thresholds.
 @dataclass(frozen=True)
 class Layout:
     line: float = 0.3
@@ -47,10 +49,10 @@ PAGE = ["doc_key", "page_number"]
 
 
 def clean_words(words: DataFrame) -> DataFrame:
-    ok = F.trim(F.coalesce("text", F.lit(""))) != ""
+    ok = strip(F.coalesce("text", F.lit(""))) != ""
     for c in ("x0", "x1", "top", "bottom", "size"):
         ok = ok & F.col(c).isNotNull() & ~F.isnan(c)
-    return words.filter(ok).withColumn("text", F.trim("text")).withColumn("fontname", F.coalesce("fontname", F.lit("")))
+    return words.filter(ok).withColumn("text", strip(F.col("text"))).withColumn("fontname", F.coalesce("fontname", F.lit("")))
 
 
 def group_lines(words: DataFrame, layout: Layout = Layout()) -> DataFrame:
@@ -114,13 +116,13 @@ def body_size(lines: DataFrame) -> DataFrame:
 def furniture(lines: DataFrame, layout: Layout = Layout()) -> DataFrame:
     """Adds candidate and furniture; needs body."""
     up, down = Window.partitionBy(*PAGE).orderBy("line_idx"), Window.partitionBy(*PAGE).orderBy(F.desc("line_idx"))
-    text = F.trim("text")
+    text = strip(F.col("text"))
     lines = lines.withColumn("_i", F.row_number().over(up)).withColumn("candidate", (F.col("_i") <= layout.edge_lines) | (F.row_number().over(down) <= layout.edge_lines))
     lines = lines.withColumn("_key", F.lower(F.trim(F.regexp_replace(F.regexp_replace("text", r"\d+", "#"), r"\s+", " "))))
     seen = lines.filter(F.col("candidate") & (F.col("max_size") <= F.col("body") * layout.bold_heading) & (F.col("_key") != ""))
     repeated = seen.groupBy("doc_key", "_key").agg(F.count_distinct("page_number").alias("n")).filter(F.col("n") >= layout.repetitions).select("doc_key", "_key", F.lit(True).alias("_again"))
-    own_number = text.rlike(NUMBER) & (text.cast("decimal(38,0)") == F.col("page_number"))
-    direct = F.coalesce(own_number, F.lit(False)) | text.rlike(r"^(\d+\s*\|\s*\S.*|\S.*\|\s*\d+)$") | (F.col("_i") == 1) & (F.length(text) <= 4) & text.rlike(r"^[\W_]+$")
+    own_number = text.rlike(NUMBER) & (F.regexp_replace(text, r"^0+(?=\d)", "") == F.col("page_number").cast("string"))
+    direct = F.coalesce(own_number, F.lit(False)) | text.rlike(r"^(\d+\s*\|\s*\S.*|\S.*\|\s*\d+)$") | (F.col("_i") == 1) & (F.length(text) <= 4) & text.rlike(r"^[^\p{L}\p{N}_]+$")
     return lines.join(repeated, ["doc_key", "_key"], "left").withColumn("furniture", F.col("candidate") & (direct | F.coalesce("_again", F.lit(False)))).drop("_i", "_key", "_again")
 
 
@@ -128,7 +130,7 @@ def footnotes(lines: DataFrame, layout: Layout = Layout()) -> DataFrame:
     """Adds footnote: small bare numbers, and a page's last small lines if they hold prose and stand apart. Needs body, furniture."""
     page = Window.partitionBy(*PAGE)
     small = F.col("max_size") <= F.col("body") * layout.footnote
-    number = F.trim("text").rlike(NUMBER)
+    number = strip(F.col("text")).rlike(NUMBER)
     content = ~F.col("furniture")
     from_end = page.orderBy(F.desc("line_idx")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     lines = lines.withColumn("_tail", content & (F.max((content & ~small).cast("int")).over(from_end) == 0))
@@ -146,7 +148,7 @@ def headings(lines: DataFrame, layout: Layout = Layout()) -> DataFrame:
     big = F.col("max_size") >= F.col("body") * layout.heading
     bold = (F.col("bold_ratio") >= BOLD_SHARE) & (F.col("max_size") >= F.col("body") * layout.bold_heading)
     test = ~F.col("text").rlike(LIST_MARK) & (F.length("text") <= layout.heading_chars) & (big | bold)
-    lines = lines.withColumn("heading", ~F.col("furniture") & ~F.col("footnote") & test).withColumn("_size", F.bround(F.col("max_size") * 2) / 2)
+    lines = lines.withColumn("heading", ~F.col("furniture") & ~F.col("footnote") & test).withColumn("_size", F.bround("max_size", 1))
     sizes = lines.filter("heading").select("doc_key", "_size").distinct().withColumn("_rank", F.dense_rank().over(Window.partitionBy("doc_key").orderBy(F.desc("_size"))))
     return lines.join(sizes, ["doc_key", "_size"], "left").withColumn("level", F.when(F.col("heading"), F.least("_rank", F.lit(6)))).drop("_size", "_rank")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from ..schemas import FAILURE_MESSAGE, SEED_KNOWLEDGE_BASE
 
 # Allowed moves; None is the start.
@@ -13,7 +14,7 @@ MOVES = {
     "version": ((None, "PROCESSING"), ("PROCESSING", "SEARCHABLE"), ("PROCESSING", "FAILED")),
     "knowledge_base": ((None, "ACTIVE"), ("ACTIVE", "ARCHIVED")),
 }
-# Error kinds to failure codes, the first that holds; anything else is PROCESSING_FAILED.
+# Failure codes and the errors that they stand for, kinds of these errors included; anything else is PROCESSING_FAILED.
 FAILURES = (
     ("OBJECT_STORAGE_UNAVAILABLE", ("ObjectStorageError", "ObjectAlreadyExistsError")),
     ("PDF_ENCRYPTED", ("PdfEncryptedError",)),
@@ -21,8 +22,8 @@ FAILURES = (
     ("CONTENT_BLOCK_TOO_LARGE", ("ContentBlockTooLargeError",)),
     ("EMBEDDING_PROVIDER_UNAVAILABLE", ("EmbeddingProviderUnavailableError",)),
     ("EMBEDDING_RESPONSE_INVALID", ("EmbeddingResponseInvalidError",)),
-    ("VECTOR_INDEX_UNAVAILABLE", ("VectorIndexError",)),
-    ("PARSING_FAILED", ("PdfParsingError", "InvalidTextEncodingError", "TextPipelineError")),
+    ("VECTOR_INDEX_UNAVAILABLE", ("VectorIndexError", "VectorIndexUnavailableError", "VectorIndexConfigurationError", "VectorPointInvalidError")),
+    ("PARSING_FAILED", ("PdfParsingError", "InvalidTextEncodingError", "UnsupportedMediaTypeError", "TextPipelineError")),
 )
 
 
@@ -53,20 +54,21 @@ def latest(log: DataFrame, key: str = "entity_id") -> DataFrame:
 def addition_violations(additions: DataFrame) -> DataFrame:
     """Rows whose columns don't go with their status."""
     has = lambda c: F.col(c).isNotNull()
+    source = F.coalesce(F.col("source_ref"), F.lit("")) != ""
     ids = has("document_id") & has("document_version_id")
     no_ids = ~has("document_id") & ~has("document_version_id")
     fine = (
-        F.when(F.col("status") == "ACCEPTED", no_ids & ~has("failure_code"))
-        .when(F.col("status") == "PROCESSING", has("source_ref") & no_ids & ~has("failure_code"))
-        .when(F.col("status") == "COMPLETED", has("source_ref") & ids & ~has("failure_code"))
+        F.when(F.col("status") == "ACCEPTED", ~has("source_ref") & no_ids & ~has("failure_code"))
+        .when(F.col("status") == "PROCESSING", source & no_ids & ~has("failure_code"))
+        .when(F.col("status") == "COMPLETED", source & ids & ~has("failure_code"))
         .when(F.col("status") == "FAILED", no_ids & has("failure_code"))
         .otherwise(False)
     )
-    return additions.filter(~(fine & (F.col("size_bytes") > 0)))
+    return additions.filter(~F.coalesce(fine & (F.col("size_bytes") > 0), F.lit(False)))
 
 
 def version_violations(versions: DataFrame) -> DataFrame:
-    projected = F.trim(F.coalesce("projection_ref", F.lit(""))) != ""
+    projected = strip(F.coalesce("projection_ref", F.lit(""))) != ""
     none = F.col("projection_ref").isNull() & F.col("indexed_chunk_count").isNull()
     fine = (
         F.when(F.col("status") == "PROCESSING", none & F.col("failure_code").isNull())
@@ -78,14 +80,16 @@ def version_violations(versions: DataFrame) -> DataFrame:
 
 
 def status_view(additions: DataFrame, versions: DataFrame) -> DataFrame:
-    """Additions with their version's state, which shows only once the addition names it."""
+    """Additions with their version's state and count, which show only once the addition names it; else both are null."""
     v = versions.select(F.col("version_id").alias("document_version_id"), F.col("status").alias("version_status"), "indexed_chunk_count")
-    return additions.join(v, "document_version_id", "left").select("addition_id", "status", "document_id", "document_version_id", "version_status", F.coalesce("indexed_chunk_count", F.lit(0)).alias("indexed_chunk_count"), "failure_code", F.when(F.col("failure_code").isNotNull(), FAILURE_MESSAGE).alias("failure_message"))
+    return additions.join(v, "document_version_id", "left").select("addition_id", "status", "document_id", "document_version_id", "version_status", "indexed_chunk_count", "failure_code", F.when(F.col("failure_code").isNotNull(), FAILURE_MESSAGE).alias("failure_message"))
 
 
 def fail(additions: DataFrame, versions: DataFrame, errors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both tables after errors (addition_id, error): unfinished additions fail, and with them their registered versions."""
-    e = errors.select("addition_id", failure_code(F.col("error")).alias("_code"))
+    """Both tables after errors (addition_id, error and, to order several of one addition, seq): unfinished additions fail with
+    their first error, and with them their registered versions."""
+    order = F.struct(*(c for c in ("seq", "error") if c in errors.columns))
+    e = errors.filter("error IS NOT NULL").groupBy("addition_id").agg(F.min_by("error", order).alias("_error")).select("addition_id", failure_code(F.col("_error")).alias("_code"))
     open_ = F.col("_code").isNotNull() & F.col("status").isin("ACCEPTED", "PROCESSING")
     a = additions.join(e, "addition_id", "left").withColumn("failure_code", F.when(open_, F.col("_code")).otherwise(F.col("failure_code"))).withColumn("status", F.when(open_, "FAILED").otherwise(F.col("status"))).drop("_code")
     running = F.col("_code").isNotNull() & (F.col("status") == "PROCESSING")
@@ -98,6 +102,11 @@ def seed_knowledge_bases(spark: SparkSession) -> DataFrame:
 
 
 def put_objects(existing: DataFrame, fresh: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Objects to append, and those refused because their key is taken. Objects never change."""
-    keys = existing.select("object_key").distinct()
-    return fresh.join(keys, "object_key", "left_anti"), fresh.join(keys, "object_key", "left_semi")
+    """Objects to append, and those refused because their key is taken, also by another of ``fresh``: of these the least row wins."""
+    keys, rest = existing.select("object_key").distinct(), [c for c in fresh.columns if c != "object_key"]
+    new = fresh.join(keys, "object_key", "left_anti").groupBy(*fresh.columns).agg(F.count("*").alias("_n"))
+    first = new.groupBy("object_key").agg(F.min(F.struct(*rest)).alias("_first"))
+    put = first.select("object_key", *(F.col(f"_first.{c}").alias(c) for c in rest)).select(*fresh.columns)
+    again = new.join(first, "object_key").withColumn("_n", F.col("_n") - F.when(F.struct(*rest).eqNullSafe(F.col("_first")), 1).otherwise(0)).filter("_n > 0")
+    twice = again.withColumn("_n", F.explode(F.array_repeat(F.lit(0), F.col("_n").cast("int")))).select(*fresh.columns)
+    return put, fresh.join(keys, "object_key", "left_semi").select(*fresh.columns).union(twice)

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import uuid5
+from ..functions.text import strip, uuid5
 
 DISTANCES = ("cosine", "dot", "euclid", "manhattan")
 BLOCK = 10_000
@@ -35,6 +35,8 @@ def embed(chunks: DataFrame, provider: Callable[[], Callable[[list[str]], list[l
                     for i in some:
                         errors[i] = "EMBEDDING_PROVIDER_UNAVAILABLE"
                     continue
+                except (ValueError, TypeError, KeyError):  # an answer that can't be read
+                    got = []
                 whole = len(got) == len(some)
                 for j, i in enumerate(some):
                     v = got[j] if whole else None
@@ -65,7 +67,7 @@ def check_points(points: DataFrame, dimension: int) -> DataFrame:
     pages = F.col("page_start").isNull() != F.col("page_end").isNull()
     problem = (
         F.when(F.col("chunk_index").isNull() | (F.col("chunk_index") < 0), "index")
-        .when(F.trim(F.coalesce("text", F.lit(""))) == "", "text")
+        .when(strip(F.coalesce("text", F.lit(""))) == "", "text")
         .when(pages | (F.col("page_start") < 1) | (F.col("page_end") < F.col("page_start")), "pages")
         .when(F.col("vector").isNull() | (F.size("vector") != dimension), "dimension")
         .when(~finite(F.col("vector")), "values")
@@ -81,10 +83,11 @@ def payload(points: DataFrame) -> DataFrame:
 
 
 def upsert(stored: DataFrame | None, fresh: DataFrame, key: str = "id", seq: str = "seq") -> DataFrame:
-    """The points after an upsert: of each id, that of the highest seq. Partial aggregation keeps one row an id and task."""
+    """The points after an upsert: of each id, that of the highest seq; of equals, that of the highest hash. Partial aggregation
+    keeps one row an id and task."""
     both = fresh if stored is None else stored.unionByName(fresh, allowMissingColumns=True)
     rest = [c for c in both.columns if c != key]
-    return both.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(seq)).alias("_r")).select(key, *(F.col(f"_r.{c}").alias(c) for c in rest))
+    return both.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(F.col(seq), F.xxhash64(*rest))).alias("_r")).select(key, *(F.col(f"_r.{c}").alias(c) for c in rest))
 
 
 def collection_problem(manifest: DataFrame, name: str, size: int, distance: str) -> str | None:

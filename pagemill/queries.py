@@ -52,7 +52,7 @@ r AS (SELECT upload_id, m, CASE WHEN coalesce(octet_length(encode(c)), 0) = 0 TH
   WHEN m IN (3, 4, 5, 7) THEN 'UNSUPPORTED_MEDIA_TYPE' WHEN m = 2 AND left(c, 5) <> '%PDF-' THEN 'INVALID_CONTENT' END AS reject_code FROM u)
 SELECT upload_id, CASE m WHEN 0 THEN 'A.TXT' WHEN 1 THEN 'a.md' WHEN 2 THEN 'a.pdf' WHEN 3 THEN 'a.txt' WHEN 4 THEN 'a.markdown' WHEN 5 THEN '' WHEN 6 THEN 'b.txt' ELSE 'index.html' END AS name,
   CASE m WHEN 1 THEN 'text/markdown' WHEN 2 THEN 'application/pdf' WHEN 7 THEN 'text/html' ELSE 'text/plain' END AS route, reject_code,
-  CASE reject_code WHEN 'EMPTY' THEN 400 WHEN 'TOO_LARGE' THEN 413 WHEN 'UNSUPPORTED_MEDIA_TYPE' THEN 415 WHEN 'INVALID_CONTENT' THEN 422 ELSE 202 END AS http_status FROM r
+  CASE reject_code WHEN 'EMPTY' THEN 422 WHEN 'TOO_LARGE' THEN 413 WHEN 'UNSUPPORTED_MEDIA_TYPE' THEN 415 WHEN 'INVALID_CONTENT' THEN 422 ELSE 202 END AS http_status FROM r
 """)
 def val_upload_route(spark: SparkSession, d: str) -> DataFrame:
     return uploads.validate(_uploads(spark, d)).select("upload_id", "name", "route", "reject_code", "http_status")
@@ -284,6 +284,30 @@ def ingest_short_documents(spark: SparkSession, d: str) -> DataFrame:
     return chunked.withColumn("_one", one & (T.word_count(F.col("text")) <= 800)).filter("_one").select(F.col("doc_key").cast("long").alias("doc_id"), "chunk_index", "text")
 
 
+@query("""WITH t AS (SELECT doc_id, doc_id % 9 AS m, text FROM documents)
+SELECT doc_id, CASE WHEN m = 0 THEN 'NO_EXTRACTABLE_TEXT' WHEN m = 1 OR coalesce(text, '') = '' THEN 'EMPTY' WHEN m = 2 THEN 'UNSUPPORTED_MEDIA_TYPE' WHEN m = 3 THEN 'NO_EXTRACTABLE_TEXT'
+ WHEN trim(regexp_replace(text, '\\s+', ' ', 'g')) = '' THEN 'NO_EXTRACTABLE_TEXT' END AS error_code FROM t""")
+def ingest_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """A row for each upload: white space only, nothing, an unknown type, Markdown of headings alone, and plain texts."""
+    m = F.col("doc_id") % 9
+    text = F.when(m == 0, " \n\t").when(m == 1, "").when(m == 3, F.concat(F.lit("# Title "), F.col("doc_id"), F.lit("\n\n## Other\n"))).otherwise(F.col("text"))
+    kind = F.when(m == 2, "text/html").when(m == 3, "text/markdown").otherwise("text/plain")
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("upload_id"), F.lit("kb").alias("kb_id"), F.when(m == 3, "a.md").otherwise("a.txt").alias("filename"), kind.alias("media_type"), text.cast("binary").alias("content"))
+    checked = uploads.validate(docs)
+    return ingest.outcomes(checked, ingest.parsed(checked)).select(F.col("doc_key").cast("long").alias("doc_id"), "error_code")
+
+
+@query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, p.vec_id AS id, round(list_dot_product(q.v, p.v), 6) AS score FROM e q, e p WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, id, score FROM r WHERE rank <= 5""")
+def vec_topk_unfiltered(spark: SparkSession, d: str) -> DataFrame:
+    """Every hundredth vector as a query against all points, without a filter."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    q = e.filter("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    return vectors.search(e, q, 5, "dot", None, 6)
+
+
 # --- vectors -------------------------------------------------------------------------------------------------------
 
 
@@ -297,7 +321,7 @@ def vec_point_id(spark: SparkSession, d: str) -> DataFrame:
 def vec_validate(spark: SparkSession, d: str) -> DataFrame:
     m = F.col("vec_id") % 10
     v = F.when(m == 1, F.slice("embedding", 1, 63)).when(m == 2, F.transform("embedding", lambda x: F.lit(float("nan")).cast("float"))).otherwise(F.col("embedding"))
-    points = table(spark, d, "embeddings").select("vec_id", F.lit(VERSION).alias("document_version_id"), F.when(m.isin(5, 6), F.floor(F.col("vec_id") / 10) * 10 + 5).otherwise(F.col("vec_id")).alias("chunk_index"), F.when(m == 3, " ").otherwise("t").alias("text"), F.when(m == 4, 2).alias("page_start"), F.when(m == 4, 1).alias("page_end"), v.alias("vector"))
+    points = table(spark, d, "embeddings").select("vec_id", F.lit(VERSION).alias("document_version_id"), F.when(m.isin(5, 6), F.floor(F.col("vec_id") / 10) * 10 + 5).otherwise(F.col("vec_id")).alias("chunk_index"), F.when(m == 3, "\n\t").otherwise("t").alias("text"), F.when(m == 4, 2).alias("page_start"), F.when(m == 4, 1).alias("page_end"), v.alias("vector"))
     return vectors.check_points(points, 64).select("vec_id", "problem")
 
 
@@ -436,7 +460,8 @@ def _tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     a = docs.select(
         i.alias("addition_id"),
         F.when(m == 0, "COMPLETED").when(m == 1, "FAILED").when(m == 2, "PROCESSING").when(m == 3, "ACCEPTED").otherwise("COMPLETED").alias("status"),
-        F.when(m != 3, "ref").alias("source_ref"),
+        # of the accepted and processing ones, every other has a reference that its state forbids or lacks
+        F.when(m == 2, F.when(i % 2 == 1, "").otherwise("ref")).when(m == 3, F.when(i % 2 == 1, "ref")).otherwise("ref").alias("source_ref"),
         F.when(m == 0, i).alias("document_id"),
         F.when(m.isin(0, 4), i * 10).alias("document_version_id"),
         F.when(m == 1, "PARSING_FAILED").alias("failure_code"),
@@ -447,12 +472,12 @@ def _tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 @query(f"""SELECT doc_id AS addition_id, CASE doc_id % 5 WHEN 0 THEN 'COMPLETED' WHEN 1 THEN 'FAILED' WHEN 2 THEN 'PROCESSING' WHEN 3 THEN 'ACCEPTED' ELSE 'COMPLETED' END AS status,
-CASE doc_id % 5 WHEN 0 THEN 'SEARCHABLE' WHEN 4 THEN 'PROCESSING' END AS version_status, CASE WHEN doc_id % 5 = 0 THEN doc_id % 2 ELSE 0 END AS indexed_chunk_count, CASE WHEN doc_id % 5 = 1 THEN '{FAILURE_MESSAGE}' END AS failure_message FROM documents""")
+CASE doc_id % 5 WHEN 0 THEN 'SEARCHABLE' WHEN 4 THEN 'PROCESSING' END AS version_status, CASE WHEN doc_id % 5 = 0 THEN doc_id % 2 END AS indexed_chunk_count, CASE WHEN doc_id % 5 = 1 THEN '{FAILURE_MESSAGE}' END AS failure_message FROM documents""")
 def lif_status_view(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.status_view(*_tables(spark, d)).select("addition_id", "status", "version_status", "indexed_chunk_count", "failure_message")
 
 
-@query("""SELECT 'addition' AS entity, doc_id AS id FROM documents WHERE doc_id % 5 = 4 OR NOT coalesce(n_chars > 0, false) UNION ALL SELECT 'version', doc_id * 10 FROM documents WHERE doc_id % 5 = 0 AND doc_id % 2 = 0""")
+@query("""SELECT 'addition' AS entity, doc_id AS id FROM documents WHERE doc_id % 5 = 4 OR doc_id % 5 IN (2, 3) AND doc_id % 2 = 1 OR NOT coalesce(n_chars > 0, false) UNION ALL SELECT 'version', doc_id * 10 FROM documents WHERE doc_id % 5 = 0 AND doc_id % 2 = 0""")
 def lif_invariants(spark: SparkSession, d: str) -> DataFrame:
     a, v = _tables(spark, d)
     return lifecycle.addition_violations(a).select(F.lit("addition").alias("entity"), F.col("addition_id").alias("id")).union(lifecycle.version_violations(v).select(F.lit("version"), "version_id"))
@@ -462,15 +487,26 @@ def lif_invariants(spark: SparkSession, d: str) -> DataFrame:
 CASE doc_id % 5 WHEN 0 THEN 'SEARCHABLE' WHEN 3 THEN NULL ELSE 'FAILED' END AS version_status FROM documents""")
 def lif_failure(spark: SparkSession, d: str) -> DataFrame:
     a, v = _tables(spark, d)
-    errors = a.select("addition_id", F.lit("VectorIndexError").alias("error"))
+    errors = a.select("addition_id", F.explode(F.array(F.struct(F.lit(2).alias("seq"), F.lit("PdfParsingError").alias("error")), F.struct(F.lit(1).alias("seq"), F.lit("VectorPointInvalidError").alias("error")))).alias("e")).select("addition_id", "e.*")
     a, v = lifecycle.fail(a, v, errors)
     return a.join(v.select("addition_id", F.col("status").alias("version_status")), "addition_id", "left").select("addition_id", "status", "failure_code", "version_status")
 
 
-@query("""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'OBJECT_STORAGE_UNAVAILABLE' WHEN 1 THEN 'PDF_ENCRYPTED' WHEN 2 THEN 'NO_EXTRACTABLE_TEXT' WHEN 3 THEN 'PARSING_FAILED' WHEN 4 THEN 'PROCESSING_FAILED' END AS code FROM documents""")
+#: Errors, each with the code that it must give.
+_CODES = {
+    "ObjectStorageError": "OBJECT_STORAGE_UNAVAILABLE", "ObjectAlreadyExistsError": "OBJECT_STORAGE_UNAVAILABLE", "PdfEncryptedError": "PDF_ENCRYPTED", "PdfNoExtractableTextError": "NO_EXTRACTABLE_TEXT",
+    "NoTextContentError": "NO_EXTRACTABLE_TEXT", "ContentBlockTooLargeError": "CONTENT_BLOCK_TOO_LARGE", "EmbeddingProviderUnavailableError": "EMBEDDING_PROVIDER_UNAVAILABLE",
+    "EmbeddingResponseInvalidError": "EMBEDDING_RESPONSE_INVALID", "VectorIndexError": "VECTOR_INDEX_UNAVAILABLE", "VectorIndexUnavailableError": "VECTOR_INDEX_UNAVAILABLE",
+    "VectorIndexConfigurationError": "VECTOR_INDEX_UNAVAILABLE", "VectorPointInvalidError": "VECTOR_INDEX_UNAVAILABLE", "PdfParsingError": "PARSING_FAILED", "InvalidTextEncodingError": "PARSING_FAILED",
+    "UnsupportedMediaTypeError": "PARSING_FAILED", "TextPipelineError": "PARSING_FAILED", "EmbeddingProviderError": "PROCESSING_FAILED", "KeyError": "PROCESSING_FAILED",
+}
+
+
+@query(f"""SELECT doc_id, {list(_CODES.values())}[CAST(doc_id % {len(_CODES) + 1} + 1 AS INTEGER)] AS code FROM documents""")
 def lif_failure_code(spark: SparkSession, d: str) -> DataFrame:
-    names = F.array(*map(F.lit, ("ObjectAlreadyExistsError", "PdfEncryptedError", "NoTextContentError", "PdfParsingError", "Other")), F.lit(None).cast("string"))
-    return table(spark, d, "documents").select("doc_id", lifecycle.failure_code(F.get(names, (F.col("doc_id") % 6).cast("int"))).alias("code"))
+    """Every kind of error, and none."""
+    names = F.array(*map(F.lit, _CODES))
+    return table(spark, d, "documents").select("doc_id", lifecycle.failure_code(F.get(names, (F.col("doc_id") % (len(_CODES) + 1)).cast("int"))).alias("code"))
 
 
 # --- layout --------------------------------------------------------------------------------------------------------
@@ -510,7 +546,7 @@ _MARKS = rf"""k AS (SELECT l.*, body, row_number() OVER (PARTITION BY l.doc_id,
 c AS (SELECT * FROM k WHERE a <= 2 OR z <= 2),
 r AS (SELECT doc_id, key FROM c WHERE max_size <= body * 1.08 AND key <> '' GROUP BY doc_id, key HAVING count(DISTINCT page_number) >= 2),
 f AS (SELECT c.doc_id, CAST(c.page_number AS INTEGER) AS page_number, CAST(c.line_idx AS INTEGER) AS line_idx, c.text FROM c LEFT JOIN r ON c.doc_id = r.doc_id AND c.key = r.key
-WHERE r.key IS NOT NULL OR regexp_full_match(text, '[0-9]+') AND TRY_CAST(text AS HUGEINT) = page_number OR regexp_full_match(text, '[0-9]+\s*\|\s*\S.*|\S.*\|\s*[0-9]+') OR a = 1 AND length(text) <= 4 AND regexp_full_match(text, '[^\p{{L}}\p{{N}}]+'))"""
+WHERE r.key IS NOT NULL OR regexp_full_match(text, '[0-9]+') AND TRY_CAST(text AS HUGEINT) = page_number OR regexp_full_match(text, '[0-9]+\s*\|\s*\S.*|\S.*\|\s*[0-9]+') OR a = 1 AND length(text) <= 4 AND regexp_full_match(text, '[^\p{{L}}\p{{N}}_]+'))"""
 
 
 @query(f"WITH {_LINES} {_BODY}, {_MARKS} SELECT doc_id, page_number, line_idx, text FROM f")

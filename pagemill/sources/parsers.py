@@ -1,4 +1,4 @@
-"""Parsers: decoded text to ordered nodes. Plain text is native; Markdown's open fences need a pass in order."""
+"""Parsers: decoded text to ordered nodes. Plain text is native; Markdown's open fences need a pass in order, in Python."""
 
 from __future__ import annotations
 
@@ -6,48 +6,37 @@ import re
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE, lines
 from ..schemas import NODES, node
 
 
-def text_paragraphs(docs: DataFrame, key: str = "doc_key") -> DataFrame:
-    """key, node_idx, text, line_start, line_end: blocks of lines between blank ones (islands of a running blank count)."""
-    rows = docs.select(key, F.posexplode(lines(F.col("text"))).alias("i", "line"))
-    blank = F.regexp_replace("line", SPACE + "+", "") == ""
-    island = F.sum(blank.cast("int")).over(Window.partitionBy(key).orderBy("i"))
-    blocks = rows.withColumn("island", island).filter(~blank).groupBy(key, "island").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x.line), "\n").alias("text"),
-        (F.min("i") + 1).alias("line_start"),
-        (F.max("i") + 1).alias("line_end"),
-    )
-    return blocks.withColumn("node_idx", F.row_number().over(Window.partitionBy(key).orderBy("island")) - 1).select(key, "node_idx", "text", "line_start", "line_end")
-
-
-def plain_nodes(text: str | None) -> list[dict] | None:
-    """Paragraphs of a plain text, one pass over its lines."""
-    if text is None:
-        return None
-    out: list[dict] = []
-    held: list[str] = []
-    for n, row in enumerate([*text.splitlines(), ""], 1):
-        if row.strip():
-            held.append(row)
-        elif held:
-            out.append(node("paragraph", "\n".join(held), line_start=n - len(held), line_end=n - 1))
-            held = []
-    return out
+def paragraph_nodes(text: Column) -> Column:
+    """A plain text's paragraphs as nodes: blocks of lines between blank ones, found by where they start and end. One pass over
+    the lines inside the row; the lines and their marks are bound to variables, else each step would split the text again."""
+    null = lambda t: F.lit(None).cast(t)
 
+    def blocks(rows: Column, blank: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(rows) - 1)
+        edge = lambda i, beside: ~F.get(blank, i) & F.coalesce(F.get(blank, beside), F.lit(True))
+        starts, ends = F.filter(at, lambda i: edge(i, i - 1)), F.filter(at, lambda i: edge(i, i + 1))
+        block = lambda s, e: F.struct(
+            F.lit("paragraph").alias("kind"), null("int").alias("level"), F.array_join(F.slice(rows, s + 1, e - s + 1), "\n").alias("text"), null("string").alias("language"),
+            (s + 1).alias("line_start"), (e + 1).alias("line_end"), null("int").alias("page_number"), F.lit("body").alias("content_role"),
+        )
+        return F.when(F.size(rows) > 0, F.zip_with(starts, ends, block)).otherwise(F.array().cast(NODES)).cast(NODES)
 
-def paragraph_nodes(text: Column) -> Column:
-    """The same as an array of nodes, without a shuffle. A fold in the row would copy all blocks at each line."""
+    mark = lambda rows: F.transform(rows, lambda r: r.rlike(rf"\A{SPACE}*\z"))
+    found = F.transform(F.array(lines(text)), lambda rows: F.transform(F.array(mark(rows)), lambda blank: blocks(rows, blank))[0])[0]
+    return F.when(text.isNotNull(), found)
 
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(plain_nodes)
 
-    return F.pandas_udf(run, NODES)(text)
+def text_paragraphs(docs: DataFrame, key: str = "doc_key") -> DataFrame:
+    """key, node_idx, text, line_start, line_end of plain texts."""
+    nodes = docs.select(key, F.posexplode(paragraph_nodes(F.col("text"))).alias("node_idx", "n"))
+    return nodes.select(key, "node_idx", "n.text", "n.line_start", "n.line_end")
 
 
 _atx = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?)|[ \t]*)")
@@ -126,5 +115,3 @@ def parse(docs: DataFrame, extra: dict[str, Callable[[Column], Column]] | None =
         nodes = F.when(here, f(F.when(here, F.col("text")))).otherwise(nodes)  # Python parsers run on every row, so others' texts are null there
     error = F.when(~F.col("route").isin(*routes), "UNSUPPORTED_MEDIA_TYPE").when(F.col("text").isNull(), "PARSING_FAILED")
     return docs.withColumn("nodes", nodes).withColumn("error_code", error)
-
-

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from ..schemas import MEDIA_EXTENSIONS
 
 MAX_BYTES = 20 * 1024 * 1024
-STATUS = {"KB_NOT_FOUND": 404, "KB_NOT_ACTIVE": 409, "TOO_LARGE": 413, "UNSUPPORTED_MEDIA_TYPE": 415, "INVALID_CONTENT": 422, "EMPTY": 400}
+STATUS = {"KB_NOT_FOUND": 404, "KB_NOT_ACTIVE": 409, "TOO_LARGE": 413, "UNSUPPORTED_MEDIA_TYPE": 415, "INVALID_CONTENT": 422, "EMPTY": 422}
 
 
 def read_files(spark: SparkSession, path: str, kb_id: str, media_types: dict[str, str] | None = None) -> DataFrame:
@@ -20,19 +21,19 @@ def read_files(spark: SparkSession, path: str, kb_id: str, media_types: dict[str
 
 
 def media_type(raw: Column) -> Column:
-    return F.lower(F.trim(F.split(raw, ";")[0]))
+    return F.lower(strip(F.split(raw, ";")[0]))
 
 
 def parameters_ok(raw: Column) -> Column:
     """No parameters, or, of text types, only charset=utf-8."""
     parts = F.split(raw, ";")
     rest = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
-    plain = F.forall(rest, lambda p: F.lower(F.trim(p)).isin("charset=utf-8", 'charset="utf-8"'))
+    plain = F.forall(rest, lambda p: F.lower(strip(p)).isin("charset=utf-8", 'charset="utf-8"'))
     return (F.size(parts) == 1) | media_type(raw).startswith("text/") & plain
 
 
 def base_name(filename: Column) -> Column:
-    return F.trim(F.element_at(F.split(F.regexp_replace(filename, r"[\\/]+$", ""), r"[\\/]"), -1))
+    return strip(F.element_at(F.split(F.regexp_replace(filename, r"[\\/]+$", ""), r"[\\/]"), -1))
 
 
 def suffix(name: Column) -> Column:
@@ -84,6 +85,6 @@ def query_suite(spark: SparkSession, path: str) -> DataFrame:
 def suite_rows(suites: DataFrame) -> DataFrame:
     rows = suites.select("suite_id", F.explode_outer("queries").alias("q")).select("suite_id", F.col("q.id").alias("query_id"), F.col("q.text").alias("text"), F.col("q.purpose").alias("purpose"))
     repeated = rows.groupBy("suite_id", "query_id").agg((F.count("*") > 1).alias("repeated"))
-    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    blank = lambda c: strip(F.coalesce(F.col(c), F.lit(""))) == ""
     problem = F.when(blank("query_id") | blank("text") | blank("purpose"), "blank").when(F.col("repeated"), "repeated")
     return rows.join(repeated, ["suite_id", "query_id"], "left").withColumn("problem", problem).drop("repeated")
