@@ -126,7 +126,8 @@ def decontaminate(documents: DataFrame, items: DataFrame, k: int = 5, window: in
 
         return f
 
-    rows = map_rows(pick(documents, **dict.fromkeys(key, "long"), text="string"), make, "".join(f"{c} long, " for c in key) + "text_key long, short int, fp long, n long, ctx string")
+    # written, so that no task runs this and the comparison below in two Python workers at once
+    rows = cut(map_rows(pick(documents, **dict.fromkeys(key, "long"), text="string"), make, "".join(f"{c} long, " for c in key) + "text_key long, short int, fp long, n long, ctx string"), "grams")
 
     @F.pandas_udf("struct<s: long, e: long>")
     def span(n: pd.Series, short: pd.Series, a: pd.Series, b: pd.Series) -> pd.DataFrame:

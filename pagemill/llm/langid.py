@@ -27,6 +27,7 @@ from .common import crc_id, map_rows, map_texts, pick
 
 PER_LANGUAGE, WINDOWS, WORDS = 500, 4, 8
 BITS = 16
+PART = 200_000  #: characters that are labelled at a time, or one text
 NONE = 1 << BITS  #: the row of features that a place doesn't have; its weights stay 0
 LETTERS = bytes(b if 0x61 <= b <= 0x7A or b >= 0x80 else 32 for b in range(256))
 UNKNOWN = "und"
@@ -65,7 +66,7 @@ def features(words: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return grams, (whole >> np.uint64(64 - BITS)).astype(np.int32), starts
 
 
-def emissions(words: bytes, weights: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+def emissions(words: bytes, weights: np.ndarray, most: int = 1 << 18) -> np.ndarray:
     """Scores (words, languages), made in parts of bounded size."""
     out, at = [], 0
     while at < len(words):
@@ -227,9 +228,9 @@ def identify(documents: DataFrame, model: Model | None) -> DataFrame:
     def make():
         def f(texts: list[str | None]) -> pa.Array:
             at, langs, scores = 0, [], []
-            while at < len(texts):  # parts of about a megabyte
+            while at < len(texts):  # parts of bounded size, as the scores take a hundred times the texts
                 to, size = at, 0
-                while to < len(texts) and size < 1_000_000:
+                while to < len(texts) and size < PART:
                     size += len(texts[to] or "")
                     to += 1
                 l, s, _ = predict(texts[at:to], held.value)
