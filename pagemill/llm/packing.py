@@ -210,7 +210,7 @@ def plan(counts: np.ndarray, capacity: int, rounds: int = 50, sweeps: int = 80)
     return best
 
 
-def pack(frame: DataFrame, capacity: int = CAPACITY, group: int = 2000) -> DataFrame:
+def pack(frame: DataFrame, capacity: int = CAPACITY, group: int = 200) -> DataFrame:
     """The rows of ``frame`` (doc_id, piece, length and others) with sequence_id and offset. It is read more than once: give a written one."""
     histogram = frame.groupBy("length").count().collect()  # capacity rows at most
     counts = np.zeros(capacity + 1, dtype=np.int64)
@@ -231,10 +231,11 @@ def pack(frame: DataFrame, capacity: int = CAPACITY, group: int = 2000) -> DataF
     lens, starts, copies, bins, places = (np.array(x, dtype=np.int64)[order] if len(order) else np.empty(0, np.int64) for x in ([k[0] for k in keys], [k[1] for k in keys], copies, bins, places))
     held = frame.sparkSession.sparkContext.broadcast((lens, starts, copies, bins, places))
 
-    # groups of about as many rows as there are groups, at least ``group``; pieces by their place in the files, so that equal ones part too
-    most = int(counts.max(initial=0))
-    salts = max(1, -(-most // max(group, math.isqrt(most))))
-    salted = row_ids(frame).withColumn("_salt", F.pmod(F.xxhash64("_file", "_row"), F.lit(salts)).cast("int"))
+    # a length that many pieces have is ranked in groups, of about as many rows as there are groups; pieces go by their place in the
+    # files, so that equal ones part too
+    salts = [max(1, -(-n // max(group, math.isqrt(n)))) for n in counts.tolist()]
+    of_length = F.get(F.array(*map(F.lit, salts)), F.col("length").cast("int"))
+    salted = row_ids(frame).withColumn("_salt", F.pmod(F.xxhash64("_file", "_row"), of_length).cast("int"))
     base = salted.groupBy("length", "_salt").count().withColumn("_base", F.sum("count").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))).select("length", "_salt", F.coalesce("_base", F.lit(0)).alias("_base"))
     ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("_file", "_row"))).join(base, ["length", "_salt"])
 
