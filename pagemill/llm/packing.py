@@ -7,7 +7,7 @@ configuration LP (fewest sequences so that every length is covered as often as i
   length at once, the best-paid configuration that holds it. Lengths covered too little gain weight, so that the next round's
   configurations hold more of them. The prices, divided by the best configuration's, are a dual solution: a lower bound.
 * Among the configurations known so far, the amounts of all that hold a length are multiplied by what it lacks (demand by
-  cover), a length at a time, until covers and demands agree nearly.
+  cover), a length at a time, for a fixed number of sweeps. Covers and demands then differ by some percent, so the program is solved nearly, not exactly.
 
 The amounts are rounded by systematic sampling: a running sum says how often each is used, as far as its lengths are left. What
 rounding leaves is filled up best-fit, from the longest length left on. Rounds, steps and capacity bound the number of
@@ -112,7 +112,7 @@ def around(lengths: np.ndarray, took: np.ndarray, capacity: int) -> list[tuple[t
 
 
 def program(counts: np.ndarray, capacity: int, rounds: int, sweeps: int) -> tuple[list[tuple[tuple[int, int], ...]], np.ndarray, float]:
-    """Configurations, the amount of each in a nearly optimal cover, and a lower bound of all covers."""
+    """Configurations, the amount of each in a nearly exact cover (some lengths get less than their demand, others more), and a lower bound of all covers."""
     rng = np.random.Generator(np.random.PCG64(7))
     lengths, demand, size = np.flatnonzero(counts), counts.astype(float), np.arange(capacity + 1) / capacity
     # dual solutions known beforehand: prices by size, and a price of 1 for whatever is over half the capacity
