@@ -2,7 +2,7 @@
 
 All rules, read backwards, are compiled into a single minimal automaton. It passes over a text's bytes once, from the end,
 and its accepting states tell at each byte which rules match from there on. Texts without any are done; for the others each
-rule's own automaton finds, from the leftmost start on, the longest match, then goes on behind it.
+rule's own automaton finds, from the leftmost start on, the longest match, then goes on behind it. A private key goes on to its last line.
 
 Defined results: a null text is empty, without spans (``drop_secrets`` leaves it null). Every row of the input gives a row, repeated ones
 and those of null or repeated ids too. ``scan_secrets`` ignores other columns, ``drop_secrets`` passes them through, whatever their names.
@@ -30,15 +30,21 @@ class Rule(NamedTuple):
     tail: str  #: one byte of the value's class; the value is the longest run of it
     least: int  #: bytes of the value for a match to count
     strict: bool = False  #: shorter runs are no matches at all (else they are consumed, then dropped)
+    rest: str = ""  #: what the match goes on with, if that is there
 
 
+_ANY = r"([\x00-\x2C\x2E-\xFF]|-[\x00-\x2C\x2E-\xFF])*"  # no two hyphens in a row
+_LINE = r"((\\n|\\r|[\x09-\x0D\x20])+[A-Za-z0-9+/=]{40}[A-Za-z0-9+/=]*)"
+#: A key's body up to its last line; where that is missing, the long lines that follow.
+_KEY = rf"({_ANY}-----END [A-Z ]*PRIVATE KEY( BLOCK)?-----|{_LINE}*)"
+
 #: The first three are the base kinds, in the order in which spans of one start are listed.
 RULES = (
     Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?""", "[A-Za-z0-9+/_.=-]", 6),
     Rule("access", "AKIA", "[A-Z0-9]", 16, True),
     Rule("hex", "", "[0-9a-f]", 24, True),
     Rule("github", "gh[pousr]_", "[A-Za-z0-9]", 20, True),
-    Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY", "-", 5, True),
+    Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY( BLOCK)?", "-", 5, True, _KEY),
 )
 
 
@@ -48,7 +54,7 @@ class Scanner:
         fold = lambda r: "(?i)" if r.head.startswith("(?i)") else ""
         shortest = [("cat", [parse(r.head), parse(f"{fold(r)}{r.tail}{{{r.least if r.strict else 1}}}")]) for r in rules]
         self.backward: Dfa = compile_dfa([reverse(t) for t in shortest], search=True)
-        self.forward = [compile_dfa([("cat", [parse(r.head), ("plus", parse(fold(r) + r.tail))])], search=False) for r in rules]
+        self.forward = [compile_dfa([("cat", [parse(r.head), ("plus", parse(fold(r) + r.tail)), parse(r.rest)])], search=False) for r in rules]
         self.heads = [compile_dfa([parse(r.head)], search=False) for r in rules]
         self.ready = False
 

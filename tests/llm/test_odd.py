@@ -229,3 +229,20 @@ def test_pipeline_stages_on_odd_rows(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[1:4]:
         assert stage(spark, docs.filter("text IS NULL OR text = ''"), str(tmp_path)).count() == 2
     assert sizes["pack"] == out.count() and DOCS
+
+
+def test_private_keys_go_whole():
+    """A key's span ends with its last line, or with its long lines where that is missing; text behind it stays."""
+    s, line = secrets.Scanner().prepare(), "aB3/" * 16
+    body = f"Kind: 4,ENC-X\n\n{line}\n{line}\nab=\n"
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----\n", "-----END RSA PRIVATE KEY-----"
+    key = begin + body + end
+    for text, want in [
+        (f"é {key} b", [(2, 2 + len(key))]),
+        (f"{key}\n{key}", [(0, len(key)), (len(key) + 1, 2 * len(key) + 1)]),
+        (key.replace("\n", "\\n"), [(0, len(key.replace("\n", "\\n")))]),
+        (f"{begin}{line}\n{line}\nshort words behind", [(0, len(begin) + 2 * len(line) + 1)]),
+        (f"{begin}words -- {end}", [(0, len(begin) - 1)]),
+        ("-----BEGIN PRIVATE KEY--- no", []),
+    ]:
+        assert [(a, e) for k, a, e in s.spans(text) if k == "private_key"] == want, text
