@@ -6,6 +6,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Callable
 from dataclasses import dataclass
+from typing import ClassVar
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -21,6 +22,33 @@ def words(text: str) -> int:
     return len(text.split())
 
 
+class Tokenizer:
+    """Counts a tokenizer file's tokens, special ones included. Only the path travels; a worker loads the file once."""
+
+    loaded: ClassVar[dict] = {}
+
+    def __init__(self, path: str):
+        if not path.strip():
+            raise ValueError("the tokenizer's path must not be blank")
+        self.path = path
+
+    def __call__(self, text: str) -> int:
+        if self.path not in self.loaded:
+            from tokenizers import Tokenizer as File
+
+            self.loaded[self.path] = File.from_file(self.path)
+        return len(self.loaded[self.path].encode(text, add_special_tokens=True).ids)
+
+
+def token_counts(texts: DataFrame, count: TokenCounter = words, column: str = "text") -> DataFrame:
+    """Adds n_tokens; null texts have none."""
+
+    def run(batch: pd.Series) -> pd.Series:
+        return pd.Series([0 if t is None else count(t) for t in batch], dtype="int64")
+
+    return texts.withColumn("n_tokens", F.pandas_udf(run, "long")(column))
+
+
 @dataclass(frozen=True)
 class Profile:
     target: int = 600

@@ -35,16 +35,46 @@ def failure_code(error: Column) -> Column:
 
 
 def transitions(log: DataFrame) -> DataFrame:
-    """Adds previous and allowed to a log (entity, entity_id, seq, status): whether the state may follow the one before."""
+    """Adds previous and allowed to a log (entity, entity_id, seq, status): whether the state may follow the one before. If the log has
+    them, a move must also bring what it needs: source_ref that isn't blank to process an addition, both ids to complete it, a
+    failure_code to fail anything."""
     w = Window.partitionBy("entity", "entity_id").orderBy("seq")
     out = log.withColumn("previous", F.lag("status").over(w))
     ok = F.lit(False)
     for entity, moves in MOVES.items():
         for a, b in moves:
             ok = ok | (F.col("entity") == entity) & (F.col("previous").isNull() if a is None else F.col("previous") == a) & (F.col("status") == b)
+    state, addition = F.col("status"), F.col("entity") == "addition"
+    if "source_ref" in log.columns:
+        ok = ok & (~(addition & (state == "PROCESSING")) | (strip(F.coalesce("source_ref", F.lit(""))) != ""))
+    if {"document_id", "document_version_id"} <= set(log.columns):
+        ok = ok & (~(addition & (state == "COMPLETED")) | F.col("document_id").isNotNull() & F.col("document_version_id").isNotNull())
+    if "failure_code" in log.columns:
+        ok = ok & ((state != "FAILED") | F.col("failure_code").isNotNull())
     return out.withColumn("allowed", F.coalesce(ok, F.lit(False)))
 
 
+#: What a run commits, in order, with the states of the addition and its version from then on.
+CHECKPOINTS = (("accept", "ACCEPTED", None), ("start", "PROCESSING", None), ("register", "PROCESSING", "PROCESSING"), ("complete", "COMPLETED", "SEARCHABLE"))
+#: How many of them a run has made when it fails in a step.
+STEPS = {"store": 1, "parse": 2, "embed": 3, "index": 3}
+
+
+def checkpoints(runs: DataFrame) -> DataFrame:
+    """addition_id, seq, checkpoint, status, version_status, failure_code: a row for each commit of each run (addition_id, failed_step,
+    error). A run fails in one of STEPS, with a last commit of both failed states, or, with a null step, not at all."""
+    kind = "array<struct<checkpoint: string, status: string, version_status: string, failure_code: string>>"
+    text = lambda x: F.lit(x).cast("string")
+    row = lambda a, b, c, d=None: F.struct(text(a).alias("checkpoint"), text(b).alias("status"), text(c).alias("version_status"), (text(None) if d is None else d).alias("failure_code"))
+    made = F.array(*(row(*c) for c in CHECKPOINTS))
+    code = failure_code(F.coalesce("error", F.lit("")))
+    commits = F.when(F.col("failed_step").isNull(), made.cast(kind))
+    for step, n in STEPS.items():
+        last = row("fail", "FAILED", "FAILED" if n > 2 else None, code)
+        commits = commits.when(F.col("failed_step") == step, F.concat(F.slice(made, 1, n), F.array(last)).cast(kind))
+    return runs.select("addition_id", F.posexplode(commits).alias("seq", "_c")).select("addition_id", "seq", "_c.*")
+
+
 def latest(log: DataFrame, key: str = "entity_id") -> DataFrame:
     """Each entity's last row: what a saved row would be."""
     rest = [c for c in log.columns if c != key]

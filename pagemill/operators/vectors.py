@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -16,12 +17,28 @@ DISTANCES = ("cosine", "dot", "euclid", "manhattan")
 BLOCK = 10_000
 
 
-def embed(chunks: DataFrame, provider: Callable[[], Callable[[list[str]], list[list[float]]]], dimension: int, batch: int = 16) -> DataFrame:
-    """Adds input, vector and error_code. ``provider`` is made once a task; blank inputs are never sent, answers are checked."""
+class Model(NamedTuple):
+    """What a provider must say it is."""
+
+    model_id: str
+    model_revision: str
+    vector_dimension: int
+
+
+def same_model(info, model: Model) -> bool:
+    """Whether a provider's answer names the wanted model and revision."""
+    return isinstance(info, dict) and (info.get("model_id"), info.get("model_sha")) == (model.model_id, model.model_revision)
+
+
+def embed(chunks: DataFrame, provider: Callable[[], Callable[[list[str]], list[list[float]]]], dimension: int, batch: int = 16, model: Model | None = None) -> DataFrame:
+    """Adds input, vector and error_code. ``provider`` is made once a task; blank inputs are never sent, answers are checked.
+
+    With ``model``, the provider's ``info()`` is asked before its first batch in a task, then remembered; nothing is sent to one that says
+    it is another model. A failed question is asked again with the next batch."""
     source = chunks.withColumn("input", F.concat_ws("\n\n", F.col("heading_path"), F.col("text")))
 
     def run(frames: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        ask = None
+        ask, known = None, model is None
         for inputs in frames:
             vectors: list = [None] * len(inputs)
             errors: list = [None if t and t.strip() else "EMBEDDING_RESPONSE_INVALID" for t in inputs]
@@ -30,6 +47,8 @@ def embed(chunks: DataFrame, provider: Callable[[], Callable[[list[str]], list[l
                 some = todo[at : at + batch]
                 try:
                     ask = ask or provider()
+                    if not known and not (known := same_model(ask.info(), model)):
+                        raise ValueError("another model")
                     got = ask([inputs.iloc[i] for i in some])
                 except OSError:
                     for i in some:
@@ -171,8 +190,24 @@ def search(points: DataFrame, queries: DataFrame, top_k: int = 5, distance: str
     return pairs.withColumn("score", s).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_k).select("query_id", "rank", "id", "score")
 
 
-def evaluation(suite: DataFrame, results: DataFrame) -> DataFrame:
-    """One JSON document a suite: its queries with their ranked results, vectors left out."""
-    ranked = results.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "score"))).alias("results"))
-    per = suite.join(ranked, "query_id", "left").groupBy("suite_id").agg(F.array_sort(F.collect_list(F.struct("query_id", "text", "purpose", "results"))).alias("queries"))
-    return per.select("suite_id", F.to_json(F.struct("suite_id", "queries")).alias("document"))
+def evaluation(suite: DataFrame, results: DataFrame, target: dict, model: Model, captured_at: str, revision: str = "unknown", collection: str | None = None) -> DataFrame:
+    """suite_id and document: one JSON document a suite, its queries with their ranked results, vectors left out.
+
+    suite: suite_id, description, query_id, text, purpose; results: query_id, rank, id, score, payload (JSON).
+    target: document_version_id, collection, top_k. ``collection`` describes the collection as JSON. Nulls are written."""
+    ranked = results.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("id").cast("string").alias("point_id"), F.col("score").cast("double").alias("score"), "payload"))).alias("results"))
+    per = suite.join(ranked, "query_id", "left").groupBy("suite_id", "description").agg(F.array_sort(F.collect_list(F.struct("query_id", "text", "purpose", "results"))).alias("queries"))
+    read = lambda r: r.withField("payload", F.parse_json(r.payload))  # noqa: E731  last, as parsed JSON can't be sorted
+    queries = F.transform("queries", lambda q: q.withField("results", F.transform(F.coalesce(q.results, F.array()), read)))
+    # The document's keys, in order.
+    document = F.struct(
+        F.lit(1).alias("schema_version"),
+        F.lit(captured_at).alias("captured_at"),
+        F.lit(revision).alias("git_revision"),
+        F.struct("suite_id", "description").alias("suite"),
+        F.struct(F.lit(target["document_version_id"]).alias("document_version_id"), F.lit(target["collection"]).alias("qdrant_collection"), F.lit(target["top_k"]).alias("top_k")).alias("target"),
+        F.struct(*(F.lit(v).alias(k) for k, v in model._asdict().items()), F.lit(None).cast("string").alias("query_instruction")).alias("embedding_profile"),
+        F.parse_json(F.lit(collection)).alias("qdrant_collection_info"),
+        queries.alias("queries"),
+    )
+    return per.select("suite_id", F.to_json(document, {"ignoreNullFields": "false"}).alias("document"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import chunking, layout, lifecycle, structure, vectors
+from .operators import chunking, layout, lifecycle, records, structure, vectors
 from .plans import ingest
 from .schemas import FAILURE_MESSAGE
 from .sources import parsers, uploads
@@ -251,6 +251,14 @@ def chk_pack(spark: SparkSession, d: str) -> DataFrame:
     return c.select("doc_id", "chunk_index", F.array_join("heading_path", "/").alias("path"), "text", "content_type", "content_role", "page_start", "page_end")
 
 
+@query()
+def chk_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's tokens by a tokenizer file, special ones included."""
+    import public_tokenizers
+
+    return chunking.token_counts(table(spark, d, "documents").select("doc_id", "text"), chunking.Tokenizer(str(public_tokenizers.path("byte_bpe_50k.json")))).drop("text")
+
+
 @query("SELECT 0 AS over_soft, 0 AS index_gaps, 0 AS lost_words")
 def chk_split_invariants(spark: SparkSession, d: str) -> DataFrame:
     """Chunks keep to the limits, their numbers have no gaps, and without overlap no word is lost."""
@@ -413,14 +421,70 @@ def snk_collections(spark: SparkSession, d: str) -> DataFrame:
     return vectors.ensure_collections(have, want)
 
 
-@query(ORACLE["vec_topk_cosine"].replace("SELECT query_id, rank, id, score", "SELECT 's' AS suite_id, CAST(query_id AS VARCHAR) AS query_id, rank, id"))
+@query(ORACLE["vec_topk_cosine"].replace("SELECT query_id, rank, id, score", "SELECT 1 AS version, 's' AS suite_id, 'v' AS document_version_id, 5 AS top_k, 'm' AS model_id, CAST(query_id AS VARCHAR) AS query_id, rank, CAST(id AS VARCHAR) AS point_id, id AS payload_id"))
 def vec_evaluation(spark: SparkSession, d: str) -> DataFrame:
     """A suite's evaluation document, read back from its JSON."""
-    found = QUERIES["vec_topk_cosine"](spark, d).withColumn("query_id", F.col("query_id").cast("string"))
-    suite = table(spark, d, "embeddings").filter("vec_id % 50 = 0").select(F.lit("s").alias("suite_id"), F.col("vec_id").cast("string").alias("query_id"), F.lit("t").alias("text"), F.lit("p").alias("purpose"))
-    read = F.from_json("document", "suite_id string, queries array<struct<query_id: string, results: array<struct<rank: int, id: bigint>>>>")
-    rows = vectors.evaluation(suite, found).select("suite_id", F.explode(read["queries"]).alias("q")).select("suite_id", "q.query_id", F.explode("q.results").alias("r"))
-    return rows.select("suite_id", "query_id", "r.rank", "r.id")
+    found = QUERIES["vec_topk_cosine"](spark, d).withColumn("query_id", F.col("query_id").cast("string")).withColumn("payload", F.to_json(F.struct("id")))
+    suite = table(spark, d, "embeddings").filter("vec_id % 50 = 0").select(F.lit("s").alias("suite_id"), F.lit("d").alias("description"), F.col("vec_id").cast("string").alias("query_id"), F.lit("t").alias("text"), F.lit("p").alias("purpose"))
+    result = "array<struct<rank: int, point_id: string, payload: struct<id: bigint>>>"
+    read = F.from_json("document", f"schema_version int, suite struct<suite_id: string>, target struct<document_version_id: string, top_k: int>, embedding_profile struct<model_id: string>, queries array<struct<query_id: string, results: {result}>>")
+    made = vectors.evaluation(suite, found, {"document_version_id": "v", "collection": "c", "top_k": 5}, vectors.Model("m", "r", 64), "2026-01-01T00:00:00+00:00")
+    rows = made.select(read.alias("j")).select("j.*", F.explode("j.queries").alias("q")).select("*", F.explode("q.results").alias("r"))
+    return rows.select(F.col("schema_version").alias("version"), "suite.suite_id", "target.document_version_id", "target.top_k", "embedding_profile.model_id", "q.query_id", "r.rank", "r.point_id", F.col("r.payload.id").alias("payload_id"))
+
+
+class _Toy:
+    """A provider that tells the wrong revision if so asked."""
+
+    def __init__(self, revision: str):
+        self.revision = revision
+
+    def info(self) -> dict:
+        return {"model_id": "m", "model_sha": self.revision}
+
+    def __call__(self, texts: list[str]) -> list[list[float]]:
+        return [[float(len(t)), 0.0] for t in texts]
+
+
+@query("SELECT doc_id, r AS revision, CASE WHEN r = 'other' OR NOT regexp_matches(coalesce(text, ''), '\\S') THEN 'EMBEDDING_RESPONSE_INVALID' END AS error_code, CASE WHEN r = 'r' AND regexp_matches(coalesce(text, ''), '\\S') THEN length(text) END AS size FROM documents, (VALUES ('r'), ('other')) t(r)")
+def emb_identity(spark: SparkSession, d: str) -> DataFrame:
+    """Texts go to a provider of the wanted revision, and none to one of another."""
+    docs = table(spark, d, "documents").select("doc_id", F.lit(None).cast("string").alias("heading_path"), "text")
+    one = lambda r: vectors.embed(docs, lambda: _Toy(r), 2, model=vectors.Model("m", "r", 2)).select("doc_id", F.lit(r).alias("revision"), "error_code", F.get("vector", F.lit(0)).cast("long").alias("size"))
+    return one("r").union(one("other"))
+
+
+# --- records -------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT vec_id, label FROM embeddings WHERE vec_id = 7")
+def rec_lookup(spark: SparkSession, d: str) -> DataFrame:
+    return records.lookup(table(spark, d, "embeddings").select("vec_id", "label"), "vec_id", 7)
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE source END AS source, 'saved' AS outcome FROM documents UNION ALL SELECT -doc_id - 1, 'new', 'missing' FROM documents WHERE doc_id % 3 = 0")
+def rec_save(spark: SparkSession, d: str) -> DataFrame:
+    """Rows saved over stored ones; those that aren't stored are told apart."""
+    stored = table(spark, d, "documents").select("doc_id", "source")
+    third = stored.filter("doc_id % 3 = 0")
+    after, missing = records.saved(stored, third.withColumn("source", F.lit("new")).union(third.select(-F.col("doc_id") - 1, F.lit("new"))), "doc_id")
+    return after.withColumn("outcome", F.lit("saved")).union(missing.withColumn("outcome", F.lit("missing")))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'lines' WHEN doc_id % 5 > n_chars % 7 THEN 'order' WHEN doc_id % 5 = 0 THEN 'order' WHEN doc_id % 3 = 0 THEN 'page' END AS problem FROM documents")
+def rec_locations(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("doc_id")
+    return table(spark, d, "documents").select("doc_id", records.location_problem(i % 5, F.when(i % 4 != 0, F.col("n_chars") % 7), i % 3).alias("problem"))
+
+
+@query("""WITH m AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'PARSING_FAILED' END AS code, CASE doc_id % 4 WHEN 0 THEN 'm' WHEN 1 THEN ' ' END AS message, CASE WHEN doc_id % 5 < 2 THEN 'c' END AS ref, CASE WHEN doc_id % 5 IN (1, 2) THEN doc_id END AS n FROM documents)
+SELECT doc_id, code, CASE WHEN code IS NOT NULL THEN message END AS message, CASE WHEN n IS NOT NULL THEN ref END AS reference, CASE WHEN ref IS NOT NULL THEN n END AS indexed_chunk_count,
+CASE WHEN code IS NULL AND message IS NOT NULL THEN 'failure' WHEN trim(message) = '' THEN 'message' WHEN (ref IS NULL) <> (n IS NULL) THEN 'projection' END AS problem FROM m""")
+def rec_mapping(spark: SparkSession, d: str) -> DataFrame:
+    """Flat columns as value objects, with the rows that make none."""
+    i = F.col("doc_id")
+    flat = table(spark, d, "documents").select("doc_id", F.when(i % 3 == 0, "PARSING_FAILED").alias("failure_code"), F.when(i % 4 == 0, "m").when(i % 4 == 1, " ").alias("failure_message"), F.when(i % 5 < 2, "c").alias("projection_ref"), F.when((i % 5).isin(1, 2), i).alias("indexed_chunk_count"))
+    return records.map_versions(flat).select("doc_id", "failure.code", "failure.message", "projection.reference", "projection.indexed_chunk_count", "problem")
 
 
 # --- lifecycle -----------------------------------------------------------------------------------------------------
@@ -454,6 +518,32 @@ def lif_version_transitions(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.transitions(v.union(k)).drop("previous")
 
 
+@query("""SELECT doc_id AS addition_id, CAST(u.i AS INTEGER) AS seq, u.c AS checkpoint, u.s AS status, u.v AS version_status, u.e AS failure_code FROM documents, (VALUES
+(0, 0, 'accept', 'ACCEPTED', NULL, NULL), (0, 1, 'start', 'PROCESSING', NULL, NULL), (0, 2, 'register', 'PROCESSING', 'PROCESSING', NULL), (0, 3, 'complete', 'COMPLETED', 'SEARCHABLE', NULL),
+(1, 0, 'accept', 'ACCEPTED', NULL, NULL), (1, 1, 'fail', 'FAILED', NULL, 'OBJECT_STORAGE_UNAVAILABLE'),
+(2, 0, 'accept', 'ACCEPTED', NULL, NULL), (2, 1, 'start', 'PROCESSING', NULL, NULL), (2, 2, 'fail', 'FAILED', NULL, 'PARSING_FAILED'),
+(3, 0, 'accept', 'ACCEPTED', NULL, NULL), (3, 1, 'start', 'PROCESSING', NULL, NULL), (3, 2, 'register', 'PROCESSING', 'PROCESSING', NULL), (3, 3, 'fail', 'FAILED', 'FAILED', 'EMBEDDING_PROVIDER_UNAVAILABLE'),
+(4, 0, 'accept', 'ACCEPTED', NULL, NULL), (4, 1, 'start', 'PROCESSING', NULL, NULL), (4, 2, 'register', 'PROCESSING', 'PROCESSING', NULL), (4, 3, 'fail', 'FAILED', 'FAILED', 'PROCESSING_FAILED')) u(m, i, c, s, v, e) WHERE u.m = doc_id % 5""")
+def lif_checkpoints(spark: SparkSession, d: str) -> DataFrame:
+    """The commits of runs that end well or fail in any step."""
+    at = lambda *names: F.get(F.array(*map(F.lit, names)), (F.col("doc_id") % 5).cast("int"))
+    runs = table(spark, d, "documents").select(F.col("doc_id").alias("addition_id"), at(None, "store", "parse", "embed", "index").alias("failed_step"), at(None, "ObjectStorageError", "PdfParsingError", "EmbeddingProviderUnavailableError", "KeyError").alias("error"))
+    return lifecycle.checkpoints(runs)
+
+
+@query("""SELECT doc_id AS entity_id, CAST(u.i AS INTEGER) AS seq, CASE u.i WHEN 0 THEN true WHEN 1 THEN doc_id % 3 <> 0 WHEN 2 THEN doc_id % 2 = 0 END AS allowed FROM documents, (VALUES (0), (1), (2)) u(i)""")
+def lif_needs(spark: SparkSession, d: str) -> DataFrame:
+    """Moves that lack what they must bring: blank references, one id of two, failures without a code."""
+    i, state = F.col("doc_id"), lambda s: F.lit(s).cast("string")
+    none = F.lit(None).cast("string")
+    row = lambda s, ref=none, doc=none, version=none, code=none: F.struct(state(s).alias("status"), ref.alias("source_ref"), doc.alias("document_id"), version.alias("document_version_id"), code.alias("failure_code"))
+    start = row("PROCESSING", F.when(i % 3 != 0, "ref").otherwise(" "))
+    done = row("COMPLETED", F.lit("ref"), F.lit("a"), F.when(i % 2 == 0, "b"))
+    failed = row("FAILED", code=F.when(i % 2 == 0, "PARSING_FAILED"))
+    log = table(spark, d, "documents").select(F.lit("addition").alias("entity"), i.alias("entity_id"), F.posexplode(F.array(row("ACCEPTED"), start, F.when(i % 5 < 3, done).otherwise(failed))).alias("seq", "_r")).select("entity", "entity_id", "seq", "_r.*")
+    return lifecycle.transitions(log).select("entity_id", "seq", "allowed")
+
+
 def _tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     m, i = F.col("doc_id") % 5, F.col("doc_id")
     docs = table(spark, d, "documents")

@@ -1,5 +1,6 @@
 """Cases that tell right from nearly right in the document operators."""
 
+import json
 import random
 
 import pytest
@@ -145,3 +146,61 @@ def test_long_prose_is_cut_as_before(seed):
     ws = [f"w{i}" + rng.choice(["", "", "", ".", "?\""]) for i in range(rng.randrange(1, 5000))]
     text = " ".join(ws)
     assert chunking.split_prose(text, [], chunking.Profile(), chunking.words) == [" ".join(x) for x in brute_split(ws)]
+
+
+def test_tokenizer_counts_special_tokens(spark, tmp_path):
+    """A file whose post-processor adds two special tokens; chunks are cut by its counts."""
+    tokenizers = pytest.importorskip("tokenizers")
+    t = tokenizers.Tokenizer(tokenizers.models.WordLevel({w: i for i, w in enumerate(["?", "<", ">", "a", "b", "."])}, unk_token="?"))
+    t.pre_tokenizer = tokenizers.pre_tokenizers.Whitespace()
+    t.post_processor = tokenizers.processors.TemplateProcessing(single="< $A >", special_tokens=[("<", 1), (">", 2)])
+    t.save(str(tmp_path / "t.json"))
+    count = chunking.Tokenizer(str(tmp_path / "t.json"))
+    texts = ["", "a", "a b. c", "  ", None]
+    got = chunking.token_counts(spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, text string"), count).orderBy("i").collect()
+    assert [r.n_tokens for r in got] == [2, 3, 6, 2, 0]
+    units = [{"kind": "paragraph", "text": "a b a b. " * 9, "content_role": "body", "line_start": 1, "line_end": 1, "page_number": None}]
+    made = chunking.pack_section(units, ["b"], chunking.Profile(10, 12, 14, 0, 20), count)
+    assert len(made) > 3 and all(count(chunking.embedding_input(["b"], c["text"])) <= 12 for c in made)
+    with pytest.raises(ValueError):
+        chunking.Tokenizer(" ")
+
+
+def test_another_model_gets_no_texts(spark, tmp_path):
+    sent = str(tmp_path / "sent")
+
+    class Provider:
+        def __init__(self, info):
+            self.answer = info
+
+        def info(self):
+            if self.answer is None:
+                raise OSError
+            return self.answer
+
+        def __call__(self, texts):
+            with open(sent, "a") as f:
+                f.writelines(texts)
+            return [[1.0] for _ in texts]
+
+    docs, model = spark.createDataFrame([(None, "x")], "heading_path string, text string"), vectors.Model("m", "r", 1)
+    errors = [vectors.embed(docs, lambda i=i: Provider(i), 1, model=model).first().error_code for i in ({"model_id": "m", "model_sha": "q"}, {"model_id": "n", "model_sha": "r"}, [], None)]
+    assert errors == ["EMBEDDING_RESPONSE_INVALID"] * 3 + ["EMBEDDING_PROVIDER_UNAVAILABLE"] and not (tmp_path / "sent").exists()
+    assert vectors.embed(docs, lambda: Provider({"model_id": "m", "model_sha": "r"}), 1, model=model).first().vector == [1.0]
+
+
+def test_evaluation_document(spark):
+    suite = spark.createDataFrame([("s", None, "q1", "t", "p"), ("s", None, "q2", "t", "p")], "suite_id string, description string, query_id string, text string, purpose string")
+    found = spark.createDataFrame([("q1", 2, "b", 0.5, '{"x": [1]}'), ("q1", 1, "a", 0.5, "{}")], "query_id string, rank int, id string, score double, payload string")
+    got = json.loads(vectors.evaluation(suite, found, {"document_version_id": "v", "collection": "c", "top_k": 2}, vectors.Model("m", "r", 3), "now", collection='{"n": 1}').first().document)
+    assert list(got) == ["schema_version", "captured_at", "git_revision", "suite", "target", "embedding_profile", "qdrant_collection_info", "queries"]
+    assert got["suite"] == {"suite_id": "s", "description": None} and got["qdrant_collection_info"] == {"n": 1} and got["git_revision"] == "unknown"
+    assert got["embedding_profile"] == {"model_id": "m", "model_revision": "r", "vector_dimension": 3, "query_instruction": None}
+    first, second = got["queries"]
+    assert [(r["rank"], r["point_id"], r["payload"]) for r in first["results"]] == [(1, "a", {}), (2, "b", {"x": [1]})] and second["results"] == []
+
+
+def test_unknown_steps_and_nulls(spark):
+    runs = spark.createDataFrame([(1, None, None), (2, "store", None)], "addition_id int, failed_step string, error string")
+    got = [(r.addition_id, r.checkpoint, r.failure_code) for r in lifecycle.checkpoints(runs).orderBy("addition_id", "seq").collect()]
+    assert got == [(1, c, None) for c in ("accept", "start", "register", "complete")] + [(2, "accept", None), (2, "fail", "PROCESSING_FAILED")]
