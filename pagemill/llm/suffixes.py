@@ -25,7 +25,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import U64, bitmap, cut, in_bitmap, map_rows, mix, pick, signed
@@ -237,6 +237,44 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, reach: int = 160)
     return hit.unionByName(clean)
 
 
+def doubled_spans(documents: DataFrame, length: int = LENGTH, first: int = 25) -> DataFrame:
+    """doc_id, s, e: the same ranges by plain prefix doubling of every position, a row for each range. Ranks are exact: places in the
+    sorted order of the first ``first`` bytes, then of pairs of the ranks at a position and at a growing offset. Unique positions leave after
+    each round; the last offset is what makes the prefix ``length`` long. Its shuffles are many times its input, so it is not what op10 runs."""
+    if not 0 < first <= length:
+        raise ValueError("first must be positive, and at most length")
+    docs = cut(pick(documents, doc_id="long", text="string").withColumn("row", F.monotonically_increasing_id()), "rows")
+
+    def make():
+        def f(b: pa.RecordBatch):
+            for row, text in zip(b["row"].to_pylist(), b["text"].to_pylist()):
+                data = (text or "").encode()
+                n = len(data) - first + 1 if len(data) >= length else 0
+                for at in range(0, n, 100_000):
+                    p = np.arange(at, min(at + 100_000, n))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), row)), pa.array(p), pa.array([data[i : i + first] for i in p], pa.binary())], ["row", "p", "x"])
+
+        return f
+
+    def rerank(rows: DataFrame, *by: str) -> DataFrame:
+        found = rows.groupBy(*by).count().filter("count > 1").select(*by)
+        ranks = cut(found.orderBy(*by).withColumn("place", F.monotonically_increasing_id()), "ranks")
+        return cut(rows.join(ranks, list(by)).select("row", "p", F.col("place").alias("rank")), "ranked")
+
+    h = first
+    ranked = rerank(map_rows(docs.select("row", "text"), make, "row long, p long, x binary"), "x")
+    while h < length:
+        step = min(h, length - h)
+        behind = ranked.select("row", (F.col("p") - step).alias("p"), F.col("rank").alias("next"))
+        ranked = rerank(ranked.join(behind, ["row", "p"]), "rank", "next")
+        h += step
+    w = Window.partitionBy("row").orderBy("p")
+    start = F.coalesce(F.col("p") > F.lag("p").over(w) + length, F.lit(True))
+    runs_ = ranked.withColumn("start", start.cast("int")).withColumn("run", F.sum("start").over(w))
+    spans = runs_.groupBy("row", "run").agg(F.min("p").alias("s"), (F.max("p") + length).alias("e"))
+    return docs.select("row", "doc_id").join(spans, "row").select("doc_id", "s", "e")
+
+
 def _only(docs: DataFrame, keys: DataFrame, inside: bool = True) -> DataFrame:
     """The documents whose row_key may be among the keys, by a bitmap of bounded size; or those whose key surely isn't."""
     held = docs.sparkSession.sparkContext.broadcast(bitmap(keys, "row_key"))

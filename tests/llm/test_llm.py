@@ -336,6 +336,9 @@ def test_repeated_spans(spark):
         kept = suffixes.drop_spans(t, [{"s": s, "e": e} for s, e in spans])
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len((t or "").encode()), sum(e - s for s, e in spans), len(spans), hashlib.sha256(kept).hexdigest()), t
     assert suffixes.repeated_spans(frame(spark, [])).count() == 0
+    for length, first in ((200, 25), (61, 7)):
+        plain = {(r.doc_id, r.s, r.e) for r in suffixes.doubled_spans(frame(spark, texts), length, first).collect()}
+        assert plain == {(i, s, e) for i, spans in enumerate(suffixes.brute(texts, length)) for s, e in spans}
 
 
 def test_pipeline(spark):
