@@ -181,14 +181,14 @@ def near_classes(documents: DataFrame, key: tuple[str, ...] = ("doc_id",), thres
     order = F.struct(-F.col("core") / F.col("n"), F.col("node"))
     hub = cut(entries.groupBy("value").agg(F.min_by(F.struct("node", "n", "core"), order).alias("hub")), "hubs")
     pairs = entries.join(hub, "value").select("node", "n", "core", F.col("hub.node").alias("node2"), F.col("hub.n").alias("n2"), F.col("hub.core").alias("core2"))
-    comps = components(cut(verified(pairs.filter((F.col("node") != F.col("node2")) & bound(F.col("n"), F.col("core"), F.col("n2"), F.col("core2")))), "links"))
+    comps = components(verified(pairs.filter((F.col("node") != F.col("node2")) & bound(F.col("n"), F.col("core"), F.col("n2"), F.col("core2")))))
 
     now = entries.join(comps, "node", "left").withColumn("c", F.coalesce("component", "node"))
     now = cut(now, "now")
     several = cut(now.groupBy("value").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 <> c2").select("value"), "several")
     left = cut(now.join(several, "value").select("node", "n", "core", "c").distinct(), "open")
     if not left.isEmpty():
-        found = cut(verified(prefix_pairs(left, sets, threshold, bound)), "links")
+        found = verified(prefix_pairs(left, sets, threshold, bound))
         comps = components(comps.select(F.col("node").alias("u"), F.col("component").alias("v")).union(found))
 
     named = cut(nodes.select("class", "node").join(comps, "node", "left").select("class", F.coalesce("component", "node").alias("component")), "named")
