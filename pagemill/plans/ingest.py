@@ -5,12 +5,14 @@ Plain texts stay native all the way but for NFC and sections too long for one ch
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import composed, normalize_nodes, one_line
-from ..operators import chunking, structure, vectors
+from ..operators import chunking, lifecycle, structure, vectors
 from ..schemas import NODES
 from ..sources import parsers, uploads
 
@@ -89,3 +91,36 @@ def outcomes(checked: DataFrame, docs: DataFrame, profile: chunking.Profile = ch
 def points(chunked: DataFrame, version: str = "doc_key") -> DataFrame:
     """Chunks with the ids under which they are stored."""
     return chunked.withColumn("id", vectors.point_id(F.col(version), F.col("chunk_index")))
+
+
+def embedded(chunked: DataFrame, provider: Callable[[], Callable[[list[str]], list[list[float]]]], dimension: int, batch: int = 16, model: vectors.Model | None = None) -> DataFrame:
+    """Chunks with their vectors or error codes. Write them before they are indexed, else the provider is asked again at each reading."""
+    return vectors.embed(chunked, provider, dimension, batch, model).drop("input")
+
+
+def indexed(stored: DataFrame | None, made: DataFrame, dimension: int, collection: str, seq: int = 0, version: str = "doc_key") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The points after the embedded chunks are put in, projections (doc_key, collection, indexed_chunk_count) and errors (doc_key,
+    error_code). A document is indexed whole or, if a chunk has an error or a point has a fault, not at all.
+
+    ``version`` is the column of version ids (UUIDs), one for each doc_key; ``seq`` orders puts of one version."""
+    failed = made.groupBy("doc_key").agg(F.min("error_code").alias("error_code")).filter("error_code IS NOT NULL")
+    whole = made.join(failed.select("doc_key"), "doc_key", "left_anti").drop("error_code").withColumns({"document_version_id": F.col(version), "seq": F.lit(seq)})
+    points, done = vectors.index(stored, whole, dimension, collection)
+    keys = whole.select("doc_key", "document_version_id").distinct()
+    faulty = keys.join(done, "document_version_id", "left_anti").select("doc_key", F.lit("VECTOR_INDEX_UNAVAILABLE").alias("error_code"))
+    return points, keys.join(done, "document_version_id").drop("document_version_id"), failed.unionByName(faulty)
+
+
+def statuses(checked: DataFrame, early: DataFrame, done: DataFrame, late: DataFrame) -> DataFrame:
+    """doc_key, status, version_status, indexed_chunk_count, failure_code of each accepted upload at the end of its run. early: ``outcomes``;
+    done and late: the projections and errors of ``indexed``. A document that fails before it is embedded has no version; with
+    neither projection nor error, one is PROCESSING still."""
+    accepted = checked.filter(F.col("reject_code").isNull()).select(F.col("upload_id").alias("doc_key"))
+    # a code of parsing that the lifecycle doesn't know is that of the error behind it
+    code = F.when(F.col("error_code") == "UNSUPPORTED_MEDIA_TYPE", lifecycle.failure_code(F.lit("UnsupportedMediaTypeError"))).otherwise(F.col("error_code"))
+    rows = accepted.join(early.select("doc_key", code.alias("_early")), "doc_key", "left")
+    rows = rows.join(late.groupBy("doc_key").agg(F.min("error_code").alias("_late")), "doc_key", "left").join(done.select("doc_key", "indexed_chunk_count"), "doc_key", "left")
+    failure, found = F.coalesce("_early", "_late"), F.col("indexed_chunk_count").isNotNull()
+    status = F.when(failure.isNotNull(), "FAILED").when(found, "COMPLETED").otherwise("PROCESSING")
+    version = F.when(F.col("_early").isNotNull(), None).when(F.col("_late").isNotNull(), "FAILED").when(found, "SEARCHABLE").otherwise("PROCESSING")
+    return rows.select("doc_key", status.alias("status"), version.alias("version_status"), F.when(failure.isNull(), F.col("indexed_chunk_count")).alias("indexed_chunk_count"), failure.alias("failure_code"))

@@ -63,6 +63,38 @@ def test_outcomes(spark):
     assert [tuple(r) for r in ingest.outcomes(one, docs).collect()] == [("toc", 0, "NO_EXTRACTABLE_TEXT")]
 
 
+def test_run_to_the_index(spark, tmp_path):
+    ids = {name: f"00000000-0000-4000-8000-{i:012d}" for i, name in enumerate(("fine", "down", "wide", "blank", "type", "page", "again"))}
+    text = {"fine": b"a b c d\n\ne f g h\n", "down": b"down\n\nx x x x x\n", "wide": b"wide", "blank": b" \n", "type": b"%PDF-1.7", "page": b"page", "again": b""}
+    rows = [(ids[n], "kb", "a.pdf" if n == "type" else "a.txt", "application/pdf" if n == "type" else "text/plain", t) for n, t in text.items()]
+    checked = uploads.validate(spark.createDataFrame(rows, UPLOAD))
+    docs, profile = ingest.parsed(checked), chunking.Profile(4, 5, 6, 0, 50)
+
+    def provider():
+        def ask(texts):
+            if any("down" in t for t in texts):
+                raise OSError
+            return [[float(len(t)), 1.0] + [0.0] * ("wide" in t) for t in texts]
+
+        return ask
+
+    path = str(tmp_path / "embedded")
+    ingest.embedded(ingest.chunks(docs, profile), provider, 2, batch=1).write.parquet(path)
+    made = spark.read.parquet(path)
+    made = made.withColumn("page_start", F.when(F.col("doc_key") == ids["page"], 0).otherwise(F.col("page_start")))
+    points, done, late = ingest.indexed(None, made, 2, "chunks")
+    name = {v: k for k, v in ids.items()}
+    assert sorted((name[r.doc_key], r.chunk_index, r.text) for r in points.collect()) == [("fine", 0, "a b c d"), ("fine", 1, "e f g h")]
+    got = {name[r.doc_key]: tuple(r)[1:] for r in ingest.statuses(checked, ingest.outcomes(checked, docs, profile), done, late).collect()}
+    assert got == {
+        "fine": ("COMPLETED", "SEARCHABLE", 2, None), "down": ("FAILED", "FAILED", None, "EMBEDDING_PROVIDER_UNAVAILABLE"), "wide": ("FAILED", "FAILED", None, "EMBEDDING_RESPONSE_INVALID"),
+        "blank": ("FAILED", None, None, "NO_EXTRACTABLE_TEXT"), "type": ("FAILED", None, None, "PARSING_FAILED"), "page": ("FAILED", "FAILED", None, "VECTOR_INDEX_UNAVAILABLE"),
+    }
+    # the same once more changes nothing
+    again = ingest.indexed(points, made, 2, "chunks", seq=1)[0]
+    assert sorted(r.id for r in again.collect()) == sorted(r.id for r in points.collect())
+
+
 def test_statuses(spark):
     rows = [("a", "kb", "a.txt", "text/plain", b""), ("b", "kb", "a.txt", "text/plain", b"x"), ("c", "kb", "a.txt", "text/plain", b"\xff"), ("d", "kb", " ", "text/plain", b"x"), ("e", "kb", "a.txt", " TEXT/plain ; charset=UTF-8\t", b"x")]
     assert {r.upload_id: r.http_status for r in uploads.validate(spark.createDataFrame(rows, UPLOAD)).collect()} == {"a": 422, "b": 202, "c": 422, "d": 415, "e": 202}
