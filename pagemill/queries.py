@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -305,6 +306,34 @@ def ingest_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return ingest.outcomes(checked, ingest.parsed(checked)).select(F.col("doc_key").cast("long").alias("doc_id"), "error_code")
 
 
+@query("""WITH t AS (SELECT doc_id, doc_id % 9 AS m, CASE WHEN doc_id % 9 = 4 THEN 'down' ELSE coalesce(text, '') END AS text FROM documents),
+s AS (SELECT doc_id, m, m IN (0, 3) OR trim(regexp_replace(text, '\\s+', ' ', 'g')) = '' AS bare FROM t WHERE m NOT IN (1, 2) AND (m IN (0, 3) OR text <> ''))
+SELECT doc_id, CASE WHEN bare OR m = 4 THEN 'FAILED' ELSE 'COMPLETED' END AS status, CASE WHEN bare THEN NULL WHEN m = 4 THEN 'FAILED' ELSE 'SEARCHABLE' END AS version_status,
+ CASE WHEN bare THEN 'NO_EXTRACTABLE_TEXT' WHEN m = 4 THEN 'EMBEDDING_PROVIDER_UNAVAILABLE' END AS failure_code FROM s""")
+def ingest_run(spark: SparkSession, d: str) -> DataFrame:
+    """The final status of each accepted upload: those of ingest_outcomes, and some that the provider (a toy) is down for."""
+    m = F.col("doc_id") % 9
+    text = F.when(m == 0, " \n\t").when(m == 1, "").when(m == 3, F.concat(F.lit("# Title "), F.col("doc_id"), F.lit("\n\n## Other\n"))).when(m == 4, "down").otherwise(F.col("text"))
+    kind = F.when(m == 2, "text/html").when(m == 3, "text/markdown").otherwise("text/plain")
+    key = F.concat(F.lit("00000000-0000-4000-8000-"), F.lpad(F.col("doc_id").cast("string"), 12, "0"))
+    docs = table(spark, d, "documents").select(key.alias("upload_id"), F.lit("kb").alias("kb_id"), F.when(m == 3, "a.md").otherwise("a.txt").alias("filename"), kind.alias("media_type"), text.cast("binary").alias("content"))
+
+    def provider():
+        def ask(texts):
+            if "down" in texts:
+                raise OSError
+            return [[float(len(t)), 1.0] for t in texts]
+
+        return ask
+
+    checked = uploads.validate(docs)
+    parsed = ingest.parsed(checked)
+    made = ingest.embedded(ingest.chunks(parsed), provider, 2, batch=1).persist(StorageLevel.DISK_ONLY)  # else it is made at each reading
+    _, done, late = ingest.indexed(None, made, 2, "chunks")
+    ended = ingest.statuses(checked, ingest.outcomes(checked, parsed), done, late)
+    return ended.select(F.substring("doc_key", 25, 12).cast("long").alias("doc_id"), "status", "version_status", "failure_code")
+
+
 @query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 s AS (SELECT q.vec_id AS query_id, p.vec_id AS id, round(list_dot_product(q.v, p.v), 6) AS score FROM e q, e p WHERE q.vec_id % 100 = 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM s)
