@@ -207,15 +207,18 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, reach: int = 160)
     for level in (0, 1, 2):
         done, todo = settle(rows, length, level == 2, f"level{level}")
         spans = done if spans is None else spans.union(done)
+        if level == 0:
+            seen.destroy()  # its units are written; the driver needn't hold every bitmap until the end
         if todo is None:
             break
         per = cut(todo.groupBy("row_key").agg(F.collect_list(F.struct("a", "p", "q", "mine")).alias("todo")), f"todo{level}")
-        rows = units(_only(keyed, per).dropDuplicates(["row_key"]).join(per, "row_key"), level + 1, reach, length)
+        rows = units(_only(keyed, _held(per)).dropDuplicates(["row_key"]).join(per, "row_key"), level + 1, reach, length)
     merged = cut(spans.groupBy("row_key").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("found")), "spans")
-    maybe = _only(docs, merged)
+    hits = _held(merged)
+    maybe = _only(docs, hits)
     none = F.array().cast("array<struct<s: bigint, e: bigint>>")
     # documents outside the bitmap surely have none, so their texts needn't move
-    clean = _only(docs, merged, inside=False).select("doc_id", "text", none.alias("spans"))
+    clean = _only(docs, hits, inside=False).select("doc_id", "text", none.alias("spans"))
 
     def join_up():
         def f(b: pa.RecordBatch):
@@ -275,9 +278,13 @@ def doubled_spans(documents: DataFrame, length: int = LENGTH, first: int = 25) -
     return docs.select("row", "doc_id").join(spans, "row").select("doc_id", "s", "e")
 
 
-def _only(docs: DataFrame, keys: DataFrame, inside: bool = True) -> DataFrame:
-    """The documents whose row_key may be among the keys, by a bitmap of bounded size; or those whose key surely isn't."""
-    held = docs.sparkSession.sparkContext.broadcast(bitmap(keys, "row_key"))
+def _held(keys: DataFrame):
+    """The row_key of some documents as a bitmap of bounded size, on all machines."""
+    return keys.sparkSession.sparkContext.broadcast(bitmap(keys, "row_key"))
+
+
+def _only(docs: DataFrame, held, inside: bool = True) -> DataFrame:
+    """The documents whose row_key may be in the bitmap; or those whose key surely isn't."""
 
     def make():
         def f(b: pa.RecordBatch):

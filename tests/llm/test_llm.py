@@ -2,6 +2,7 @@
 empty tables and extra columns."""
 
 import hashlib
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -11,9 +12,10 @@ import pandas as pd
 import public_tokenizers
 import pytest
 from conftest import SF, canon, tables
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pagemill.llm import decontaminate, langid, near_dedup, packing, registry, secrets, shards, suffixes, tokencount, topk, toxicity
+from pagemill.llm import common, decontaminate, langid, near_dedup, packing, registry, secrets, shards, suffixes, tokencount, topk, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, spans string, score double"
 
@@ -362,3 +364,19 @@ def test_pipeline(spark):
         want |= {(i, k, s, m) for k, (s, m) in enumerate(packing.cuts(n, 1024))}
     got = corpus_pipeline.run(spark, SF).toPandas()
     assert set(got[["doc_id", "piece", "start", "length"]].itertuples(index=False, name=None)) == want
+
+
+def test_a_bitmap_reaches_the_driver_packed(spark):
+    values = common.cut(spark.range(300_000).select(F.xxhash64("id").alias("h")), "values")
+    tracemalloc.start()
+    try:
+        got = common.bitmap(values, "h")
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 16e6  # 131,072 words of 12 bytes, and the bitmap; a row object for each took 66 MB
+    slots = np.array([r.h for r in values.collect()]).astype(np.uint64) >> np.uint64(64 - 23)
+    want = np.zeros(1 << 17, dtype=np.uint64)
+    np.bitwise_or.at(want, (slots >> np.uint64(6)).astype(np.int64), np.uint64(1) << (slots & np.uint64(63)))
+    assert (got == want).all()
+    assert not common.bitmap(values.filter("false"), "h").any()
